@@ -20,6 +20,7 @@ _rng = np.random.Generator(np.random.PCG64(20240611))
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+_SPAN_VALUES = _VALUES.copy()
 _VALUES[_SEPARATOR] = 0
 _VALUES[65:91] = _VALUES[97:123]
 _P = 0x9E3779B97F4A7C15
@@ -28,12 +29,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n-1) mod 2**64."""
+    """base**0 to base**(n-1) mod 2**64; a very long text's powers are not kept."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         steps = np.full(max(n, PIECE + 64), base, np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if len(have) <= 2 * PIECE:
+            _powers[base] = have
     return have[:n]
 
 
@@ -70,6 +73,12 @@ def _hashed(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix(sums * _power(_P_INVERSE, len(data))[starts]), starts
 
 
+def span_numbers(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Numbers of the spans of bytes that begin at ``starts`` (the first is 0) and end where the next begins."""
+    sums = np.add.reduceat(_SPAN_VALUES[data] * _power(_P, len(data)), starts)
+    return mix(sums * _power(_P_INVERSE, len(data))[starts])
+
+
 def word_numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word numbers of all rows one after another, where each row's words begin (one more entry than rows), and each word's first byte and
     its row's first byte within the column's bytes."""
