@@ -1,13 +1,61 @@
-"""The corpus pipeline: language, near duplicates, benchmark passages, source mix, shards."""
+"""The corpus pipeline over the table documents, in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and gives the columns of
+documents, but for the last, which gives each row's shard.  ``run`` chains them; a job that writes each stage's rows
+and reads them again restarts from the last written one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loamdex.llm import decontaminate, languages, mixture, near_duplicates, shards
 
-STAGES: list = []
+DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+#: SQL can't express trigram models, registers or hash trees; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is not among ``ids``, a column doc_id; rows without id stay."""
+    return docs.join(ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*DOCUMENTS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that language identification rejects."""
+    found = languages.identified(docs, declared=F.col("lang"), host=F.col("source"), label_col="lang")
+    return _without(docs, found.groupBy("doc_id").agg(F.max("accepted").alias("any")).where("not any"))
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates, and one row of each document."""
+    found = near_duplicates.near_duplicates(docs, words=5, percent=80)
+    rest = _without(docs, found.where("not kept"))
+    # rows that repeat an id are one document; rows without id are never compared
+    once = rest.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(rest.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that hold a passage of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _without(docs, decontaminate.leaks(docs, items, words=5, percent=80))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take documents as often as their source's target asks for."""
+    return mixture.mixed(docs.select(*DOCUMENTS)).select(*DOCUMENTS)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's shard and slot."""
+    return shards.sharded(docs)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicate), ("decontamination", decontamination), ("mixture", mix), ("shards", shard)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
