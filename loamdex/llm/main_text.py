@@ -65,6 +65,8 @@ BY_TAG = {"p": 1.0, "h1": 1.0, "h2": 0.6, "h3": 0.6, "h4": 0.4, "h5": 0.4, "h6":
 PER_LOG_WORD, SENTENCE, LINKED = 0.45, 0.4, -4.0
 # smoothness
 ADJACENT, SIBLING = 1.0, 0.6
+#: What is left of a tie between a block inside and one outside of a menu, advert or the like.
+BORDER = 0.1
 
 
 @dataclass(slots=True)
@@ -221,9 +223,10 @@ def ties(found: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            out.append((i - 1, i, ADJACENT * math.exp(-_distance(found[i - 1].at, b.at) / 4)))
+            border = 1.0 if found[i - 1].at.frame == b.at.frame else BORDER
+            out.append((i - 1, i, border * ADJACENT * math.exp(-_distance(found[i - 1].at, b.at) / 4)))
         parent = id(b.at.up or b.at)
-        if parent in last and last[parent] != i - 1:
+        if parent in last and last[parent] != i - 1 and found[last[parent]].at.frame == b.at.frame:
             out.append((last[parent], i, SIBLING))
         last[parent] = i
     return out
