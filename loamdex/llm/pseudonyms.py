@@ -147,11 +147,18 @@ def _ip(m: Column, key: str) -> Column:
     return _let(permuted_number(number, 65536, 65536, key, "ip"), lambda n: F.concat_ws(".", octet(n, 24), octet(n, 16), octet(n, 8), octet(n, 0)))
 
 
-def _date(m: Column, key: str, form: Column) -> Column:
-    day = F.try_to_timestamp(m, form).cast("date")
+def _date(m: Column, key: str, year_first: bool) -> Column:
+    """A date as yyyy-MM-dd, or as dd, mark, MM, mark, yyyy."""
+    part = lambda at, n: F.substr(m, F.lit(at), F.lit(n))
+    iso = m if year_first else F.concat_ws("-", part(7, 4), part(4, 2), part(1, 2))
+    day = F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date")
     number = F.date_diff(day, F.lit(_FIRST_DAY).cast("date"))
-    new = F.date_add(F.lit(_FIRST_DAY).cast("date"), permuted_number(number, _A, _B, key, "date").cast("int"))
-    return F.when(day.isNotNull(), F.date_format(new, form))
+
+    def said(n: Column) -> Column:
+        new = F.date_add(F.lit(_FIRST_DAY).cast("date"), n.cast("int"))
+        return F.date_format(new, "yyyy-MM-dd") if year_first else F.concat(F.date_format(new, "dd"), part(3, 1), F.date_format(new, "MM"), part(3, 1), F.date_format(new, "yyyy"))
+
+    return F.when(day.isNotNull() & (number >= 0), _let(permuted_number(number, _A, _B, key, "date"), said))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -182,8 +189,8 @@ def pseudonym(value: Column, key: str) -> Column:
         "secret": lambda m: F.when(m.rlike("[0-9]") & m.rlike("[A-Fa-f]"), permuted(m, key, "secret", 6)),
         "iban": lambda m: _iban(m, key),
         "ip": lambda m: _ip(m, key),
-        "iso_date": lambda m: _date(m, key, F.lit("yyyy-MM-dd")),
-        "day_date": lambda m: _date(m, key, F.concat(F.lit("dd"), F.substr(m, F.lit(3), F.lit(1)), F.lit("MM"), F.substr(m, F.lit(3), F.lit(1)), F.lit("yyyy"))),
+        "iso_date": lambda m: _date(m, key, True),
+        "day_date": lambda m: _date(m, key, False),
         "phone": lambda m: _phone(m, key),
         "ssn": lambda m: _filled(m, permuted(F.regexp_replace(m, "-", ""), key, "ssn"), "[0-9]"),
         "card": lambda m: _card(m, key),
