@@ -34,10 +34,11 @@ from loamdex.llm.words import mix, slices, span_numbers, texts
 MAGIC, VERSION = b"LOAMTOK1", 1
 HEAD = struct.Struct("<8sIIQQQQ")
 NO_ID = 2**63 - 1
-#: Distinct pieces of text whose ids a worker keeps, about 200 bytes each.
-CACHE = 1_000_000
+#: Distinct pieces of text whose ids a worker keeps, about 40 bytes each.
+CACHE = 2_000_000
 _SHARDS = "shard int, file string, first_key long, documents long, ids long"
 _SLOT = np.dtype([("fingerprint", "<u4"), ("start", "<u8"), ("n", "<u4")])
+_PIECE = np.dtype([("a", np.uint64), ("b", np.uint64), ("at", np.int64), ("n", np.int32)])
 _KEY = np.dtype([("key", "<i8"), ("copy", "<u4")])
 
 
@@ -247,20 +248,41 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        # piece -> start << 32 | number of its ids in ``ids``
-        self.known: dict[bytes, int] = {}
-        self.ids, self.used = np.zeros(1 << 20, self.kind), 0
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        for lo in range(0, len(pieces), 1000):
-            part = pieces[lo : lo + 1000]
-            for piece, done in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                own = done.ids
-                if self.used + len(own) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(own)), self.kind)])
-                self.ids[self.used : self.used + len(own)] = own
-                self.known[piece] = self.used << 32 | len(own)
-                self.used += len(own)
+        # pieces by two numbers of 64 bits, sorted by the first; where their ids are in ``ids``, and how many
+        self.known = np.zeros(0, _PIECE)
+        self.ids, self.used = np.zeros(1 << 16, self.kind), 0
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Encode new pieces; where their ids are, and how many."""
+        at, n = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        for lo in range(0, len(pieces), 500):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces[lo : lo + 500]], add_special_tokens=False)]
+            n[lo : lo + 500] = sizes = [len(ids) for ids in found]
+            at[lo : lo + 500] = self.used + np.cumsum(sizes) - sizes
+            flat = np.array([i for ids in found for i in ids], self.kind)
+            if self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), self.kind)])
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+        return at, n
+
+    def _look(self, wanted: np.ndarray, pieces) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of pieces are, and how many. wanted: their numbers; pieces(places) gives the bytes of some."""
+        if len(self.known) + len(wanted) > CACHE:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.known["a"], wanted["a"]), max(0, len(self.known) - 1))
+        hit = np.zeros(len(wanted), bool)
+        if len(self.known):
+            hit = (self.known["a"][at] == wanted["a"]) & (self.known["b"][at] == wanted["b"])
+        start, n = np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+        start[hit], n[hit] = self.known["at"][at[hit]], self.known["n"][at[hit]]
+        new = np.flatnonzero(~hit)
+        start[new], n[new] = self._encoded(pieces(new))
+        fresh = wanted[new]
+        fresh["at"], fresh["n"] = start[new], n[new]
+        fresh = fresh[np.argsort(fresh["a"], kind="stable")]
+        self.known = np.insert(self.known, np.searchsorted(self.known["a"], fresh["a"]), fresh)
+        return start, n
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and how many each row has (the end id included)."""
@@ -270,16 +292,13 @@ class Encoder:
         if not len(starts):
             return np.array(self.end * rows, self.kind), np.full(rows, len(self.end))
         whole, ends = data.tobytes(), np.append(starts[1:], len(data))
-        numbers = span_numbers(data, starts)
-        _, first, of = np.unique(numbers, return_index=True, return_inverse=True)
-        pieces = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE:
-            self._forget()
-            new = pieces
-        self._learn(new)
-        found = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[of]
-        size, source = found & 0xFFFFFFFF, found >> 32
+        wanted = np.zeros(len(starts), _PIECE)
+        wanted["a"], wanted["b"] = span_numbers(data, starts), span_numbers(data, starts, 1)
+        _, first, of = np.unique(wanted["a"], return_index=True, return_inverse=True)
+        if (wanted["b"][first][of] != wanted["b"]).any():  # two pieces share a number of 64 bits
+            _, first, of = np.unique(wanted[["a", "b"]], return_index=True, return_inverse=True)
+        source, size = self._look(wanted[first], lambda places: [whole[a:b] for a, b in zip(starts[first[places]].tolist(), ends[first[places]].tolist(), strict=True)])
+        size, source = size[of], source[of]
         row = np.searchsorted(offsets, starts, "right") - 1
         count = np.bincount(row, size, rows).astype(np.int64) + len(self.end)
         # where each piece's ids go: behind those before it and the end ids of the rows before its own
@@ -292,6 +311,17 @@ class Encoder:
         return out, count
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder_of(path: str, width: int, end_id: int | None) -> Encoder:
+    """The worker's encoder, kept from task to task."""
+    key = (path, width, end_id)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, width, end_id)
+    return _encoders[key]
+
+
 def _write(folder: str, tokenizer: str, width: int, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -300,7 +330,7 @@ def _write(folder: str, tokenizer: str, width: int, end_id: int | None):
         key, copy = None, 0
         for whole in batches:
             for batch in slices(whole, 1, 1 << 20):
-                encoder = encoder or Encoder(tokenizer, width, end_id)
+                encoder = encoder or encoder_of(tokenizer, width, end_id)
                 writer = writer or ShardWriter(f"{folder}/shard-{shard:06d}.tok", width)
                 ids, count = encoder.encode(batch.column(1))
                 ends = np.cumsum(count)

@@ -20,7 +20,7 @@ _rng = np.random.Generator(np.random.PCG64(20240611))
 _VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
-_SPAN_VALUES = _VALUES.copy()
+_SPAN_VALUES = (_VALUES.copy(), _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 _VALUES[_SEPARATOR] = 0
 _VALUES[65:91] = _VALUES[97:123]
 _P = 0x9E3779B97F4A7C15
@@ -73,9 +73,9 @@ def _hashed(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix(sums * _power(_P_INVERSE, len(data))[starts]), starts
 
 
-def span_numbers(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Numbers of the spans of bytes that begin at ``starts`` (the first is 0) and end where the next begins."""
-    sums = np.add.reduceat(_SPAN_VALUES[data] * _power(_P, len(data)), starts)
+def span_numbers(data: np.ndarray, starts: np.ndarray, which: int = 0) -> np.ndarray:
+    """Numbers of the spans of bytes that begin at ``starts`` (the first is 0) and end where the next begins; ``which`` of two independent ones."""
+    sums = np.add.reduceat(_SPAN_VALUES[which][data] * _power(_P, len(data)), starts)
     return mix(sums * _power(_P_INVERSE, len(data))[starts])
 
 
