@@ -1 +1,202 @@
-"""Queries."""
+"""Text functions, facts and query reading over documents, pages and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loamdex.functions import facts, text as tx
+from loamdex.plans import reading
+from loamdex.plans.registry import Tables, query
+
+
+@query("X2 X53", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(trim(text), '^\s+|\s+$', '', 'g'), '\s+'), lambda x: x <> '') AS ws, text FROM documents),
+    c AS (SELECT doc_id, unnest(CASE WHEN len(ws) <= 200 THEN [text] ELSE list_transform(range(1, greatest(len(ws) - 30, 1) + 1, 170), lambda a: array_to_string(ws[a:a + 199], ' ')) END) AS chunk FROM w)
+    SELECT doc_id, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM c GROUP BY 1""")
+def word_window_chunks(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.explode(tx.word_windows(F.col("text"))).alias("chunk"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
+
+
+@query("X3")
+def sentence_chunks(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.posexplode(tx.sentence_chunks_of("text")).alias("chunk_index", "chunk"))
+    return rows.select("doc_id", "chunk_index", F.length("chunk").alias("chars"), F.md5(F.col("chunk").cast("binary")).alias("hash"))
+
+
+@query("X1", "SELECT doc_id, md5(nfc_normalize(text)) AS hash FROM documents WHERE lang <> 'en'")
+def nfc_text(t: Tables) -> DataFrame:
+    return t.documents.where("lang <> 'en'").select("doc_id", F.md5(tx.nfc("text").cast("binary")).alias("hash"))
+
+
+@query("X4 A25", """SELECT lang, count(*) AS n, CAST(sum(length(regexp_replace(text, '[^\\p{L}]', '', 'g'))) AS BIGINT) AS letters, CAST(sum(length(regexp_replace(text, '[^0-9]', '', 'g'))) AS BIGINT) AS digits, 'en' AS script FROM documents GROUP BY 1""")
+def script_histogram(t: Tables) -> DataFrame:
+    rows = t.documents.select("lang", tx.count_of(F.col("text"), r"\p{L}").alias("letters"), tx.count_of(F.col("text"), "[0-9]").alias("digits"), tx.script(F.col("text")).alias("script"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("letters").alias("letters"), F.sum("digits").alias("digits"), F.max("script").alias("script"))
+
+
+@query("X5 X50")
+def trust_scores(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", tx.trust(F.col("text")).alias("t"))
+    return rows.select("doc_id", "t.trusted", "t.score", F.concat_ws(",", "t.reasons").alias("reasons"))
+
+
+@query("X6 X38", "SELECT page_id, md5(replace(replace(replace(html, chr(160), ' '), chr(8203), ''), chr(64257), 'fi')) AS hash FROM pages")
+def repaired_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.md5(tx.digits_repaired(tx.repaired(F.col("html"))).cast("binary")).alias("hash"))
+
+
+@query("S13", r"""SELECT page_id, length(t) AS n, md5(t) AS hash FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'),
+    '(?is)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)""")
+def html_strip_pages(t: Tables) -> DataFrame:
+    rows = t.pages.select("page_id", tx.stripped(F.col("html")).alias("t"))
+    return rows.select("page_id", F.length("t").cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("hash"))
+
+
+@query("S14 X42 X46", """SELECT mime, count(*) AS n FROM (SELECT CASE WHEN page_id % 10 = 0 THEN 'image/png' WHEN lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) = 'html' THEN 'text/html' END AS mime FROM pages) GROUP BY 1""")
+def mime_types(t: Tables) -> DataFrame:
+    declared = F.when(F.col("page_id") % 10 == 0, "image/png").otherwise("application/octet-stream")
+    return t.pages.groupBy(tx.mime(declared, F.col("url")).alias("mime")).agg(F.count("*").alias("n"))
+
+
+@query("X18", r"""SELECT doc_id, md5(regexp_replace(text, '(?i)\b((?:password|passcode|pin|cvv|upi pin)\s*[:=-]\s*)\S{3,40}', '\1••••', 'g')) AS hash FROM documents WHERE NOT regexp_matches(text, '[0-9]([ -]?[0-9]){12}')""")
+def mask_sensitive(t: Tables) -> DataFrame:
+    rows = t.documents.where(~F.col("text").rlike("[0-9]([ -]?[0-9]){12}"))
+    return rows.select("doc_id", F.md5(tx.masked(F.col("text")).cast("binary")).alias("hash"))
+
+
+@query("X18")
+def mask_cards(t: Tables) -> DataFrame:
+    rows = t.documents.where(F.col("text").rlike("[0-9]([ -]?[0-9]){12}")).select("doc_id", tx.masked(F.col("text")).alias("m"))
+    return rows.select("doc_id", ((F.length("m") - F.length(F.replace("m", F.lit(tx.HIDDEN), F.lit("")))) / len(tx.HIDDEN)).cast("long").alias("hidden"))
+
+
+@query("X19 X46", r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')
+    || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS url FROM (SELECT page_id, url, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT list_contains(['utm_source', 'utm_medium', 'ref'], lower(split_part(p, '=', 1))))) AS k FROM pages)""")
+def url_normalize(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", tx.normal_url(F.col("url")).alias("url"))
+
+
+@query("X20", "SELECT event_id, 'shop' || user_id || '@bank' AS pa, CAST(CAST(floor(value) AS INT) AS VARCHAR) AS am, 'a b' AS tn FROM events WHERE event_type = 'purchase'")
+def qr_payment_fields(t: Tables) -> DataFrame:
+    payload = F.concat(F.lit("upi://pay?pa=shop"), F.col("user_id").cast("string"), F.lit("%40bank&am="), F.floor("value").cast("int").cast("string"), F.lit("&tn=a%20b"))
+    rows = t.events.where("event_type = 'purchase'").select("event_id", tx.qr_fields(payload).alias("f"))
+    return rows.select("event_id", F.col("f")["pa"].alias("pa"), F.col("f")["am"].alias("am"), F.col("f")["tn"].alias("tn"))
+
+
+@query("X21 X20", "SELECT conv_id, turn, length(text) AS n, CASE WHEN turn % 2 = 0 THEN 'pdf document' ELSE '' END AS tags FROM conversations")
+def split_stored_tags(t: Tables) -> DataFrame:
+    stored = F.concat("text", F.when(F.col("turn") % 2 == 0, "\n[pdf document]").otherwise("\n[other words]"))
+    rows = t.conversations.select("conv_id", "turn", "text", tx.split_tags(stored, ["pdf", "document"]).alias("s"))
+    return rows.select("conv_id", "turn", (F.length("s.text") - F.when(F.col("s.tags") == "", len("\n[other words]")).otherwise(0)).cast("long").alias("n"), "s.tags")
+
+
+@query("X24 X25 A12", "SELECT sha256(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def content_hash_dups(t: Tables) -> DataFrame:
+    rows = t.documents.groupBy(tx.content_hash(F.col("text")).alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+    return rows.where("copies > 1")
+
+
+@query("X25", """WITH e AS (SELECT l_orderkey, count(*) AS expected, count(*) FILTER (l_returnflag <> 'R') AS stored FROM lineitem GROUP BY 1)
+    SELECT CASE WHEN stored = 0 THEN 'NEW' WHEN stored >= expected THEN 'DUPLICATE' ELSE 'PARTIAL' END AS verdict, count(*) AS n FROM e GROUP BY 1""")
+def duplicate_verdicts(t: Tables) -> DataFrame:
+    e = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("expected"), F.count(F.when(F.col("l_returnflag") != "R", 1)).alias("stored"))
+    return e.groupBy(F.when(F.col("stored") == 0, "NEW").when(F.col("stored") >= F.col("expected"), "DUPLICATE").otherwise("PARTIAL").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("X29", "SELECT CASE WHEN lang IN ('en', 'de') THEN 'germanic' WHEN lang IN ('fr', 'es') THEN 'romance' ELSE 'other' END AS stratum, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def strata(t: Tables) -> DataFrame:
+    lang = F.col("lang")
+    kind = tx.kind_by(lang, [("germanic", lang.isin("en", "de")), ("romance", lang.isin("fr", "es"))], "other")
+    return t.documents.groupBy(kind.alias("stratum")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("X44")
+def stable_seeds(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", tx.seed64(F.col("c_name")).alias("seed"))
+
+
+@query("X7 X8", r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:version|price|total)\s*[:\-]?\s*(\d+(?:\.\d{1,2})?)', 1)) AS d FROM documents) SELECT doc_id, d AS value, round(CAST(d AS DOUBLE), 2) AS number FROM m WHERE CAST(d AS DOUBLE) > 0""")
+def amount_extract(t: Tables) -> DataFrame:
+    found = facts.matches(F.col("text"), r"(?i)(?:version|price|total)\s*[:\-]?\s*(\d+(?:\.\d{1,2})?)", 1)
+    rows = t.documents.select("doc_id", F.explode(found).alias("value")).withColumn("number", facts.amount(F.col("value")))
+    return rows.where("number is not null")
+
+
+@query("X7 X8 X9 X53", """WITH o AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS price, c_mktsegment AS who, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 3000)
+    SELECT o_orderkey, 'AMOUNT' AS kind, price AS value, CAST(price AS DOUBLE) AS number, 0.9 AS trust FROM o UNION ALL SELECT o_orderkey, 'ID_NUMBER', 'AB' || (o_orderkey + 10000), NULL, 0.9 FROM o
+    UNION ALL SELECT o_orderkey, 'DATE', day, NULL, 0.8 FROM o UNION ALL SELECT o_orderkey, 'PARTY', who, NULL, 0.6 FROM o""")
+def facts_of_receipts(t: Tables) -> DataFrame:
+    rows = t.orders.where("o_orderkey < 3000").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    said = F.concat(F.lit("Invoice ab"), (F.col("o_orderkey") + 10000).cast("string"), F.lit("\nGrand total: Rs "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("\nPaid to "), "c_mktsegment", F.lit(", on "), F.date_format("o_orderdate", "dd/MM/yyyy"))
+    return facts.facts(rows.select("o_orderkey", said.alias("text")), "o_orderkey", "text")
+
+
+@query("X9 X12", """SELECT d, m, y, strftime(try_cast(y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE), '%Y-%m-%d') AS day FROM (SELECT CAST(o_orderkey % 33 AS INT) AS d, CAST(o_orderkey % 14 AS INT) AS m, CAST(1990 + o_orderkey % 30 AS INT) AS y FROM orders WHERE o_orderkey < 3000)""")
+def guarded_dates(t: Tables) -> DataFrame:
+    rows = t.orders.where("o_orderkey < 3000").selectExpr("cast(o_orderkey % 33 as int) d", "cast(o_orderkey % 14 as int) m", "cast(1990 + o_orderkey % 30 as int) y")
+    return rows.select("d", "m", "y", F.date_format(facts.date_of(F.col("d"), F.col("m"), F.col("y")), "yyyy-MM-dd").alias("day"))
+
+
+@query("X14 W9", r"""SELECT tag, count(*) AS n FROM (SELECT CASE WHEN (CASE WHEN regexp_matches(text, '(?i)\b(?:agreement|contract|license|licensed)\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\bterms\b|\bconditions\b') THEN 1 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '(?i)\bwhereas\b') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)\bversion\b') THEN 1 ELSE 0 END) >= 2 THEN 'agreement' END AS tag FROM documents) WHERE tag IS NOT NULL GROUP BY 1""")
+def tag_kinds(t: Tables) -> DataFrame:
+    rows = t.documents.select(F.explode(facts.tags(F.col("text"))).alias("tag"))
+    return rows.where("tag = 'agreement'").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+@query("X15 W11", r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}')) AS value FROM documents) SELECT value, count(DISTINCT doc_id) AS documents, min(doc_id) AS first_id FROM m GROUP BY 1""")
+def metadata_conflicts(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.explode(facts.matches(F.col("text"), facts.ACTIONS["Email"])).alias("value"))
+    return rows.groupBy("value").agg(F.countDistinct("doc_id").alias("documents"), F.min("doc_id").alias("first_id"))
+
+
+@query("X16 A4", """WITH c AS (SELECT o_custkey, count(*) AS dates, count(*) FILTER (o_totalprice > 150000) AS amounts FROM orders GROUP BY 1),
+    s AS (SELECT *, CASE WHEN amounts > 0 THEN 40 ELSE 0 END + CASE WHEN o_custkey % 2 = 0 THEN 40 ELSE 0 END + 20 - CASE WHEN amounts > 5 OR dates > 5 THEN 50 ELSE 0 END AS pay, CASE WHEN dates > 5 THEN 40 ELSE 0 END + CASE WHEN amounts > 5 THEN 40 ELSE 0 END AS bank FROM c)
+    SELECT CASE WHEN greatest(pay, bank, CASE WHEN amounts > 0 THEN 40 ELSE 0 END) < 80 THEN 'UNKNOWN' WHEN pay >= bank THEN 'PAYMENT' ELSE 'FINANCE' END AS class, count(*) AS n FROM s GROUP BY 1""")
+def classify_customers(t: Tables) -> DataFrame:
+    rows = t.orders.groupBy("o_custkey").agg(F.count("*").alias("dates"), F.count(F.when(F.col("o_totalprice") > 150000, 1)).alias("amounts"))
+    counts = {"AMOUNT": F.col("amounts"), "DATE": F.col("dates"), "PAYMENT_APP": F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(0), "STATUS": F.lit(1), "PNR": F.lit(0)}
+    return rows.groupBy(facts.document_class(counts, F.lit("")).alias("c")["class"].alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("X17 J13 A2", """WITH a(alias, canonical) AS (VALUES ('building', 'B'), ('machinery', 'M'), ('house-hold', 'H'), ('autmobile', 'A')), d AS (SELECT DISTINCT c_mktsegment AS name FROM customer),
+    s AS (SELECT name, canonical, CASE WHEN lower(name) = alias THEN 0.98 WHEN lower(name) = replace(alias, '-', '') THEN 0.96 WHEN length(name) >= 6 THEN 1 - levenshtein(lower(name), replace(alias, '-', '')) / greatest(length(name), length(replace(alias, '-', ''))) ELSE 0 END AS c FROM d, a),
+    b AS (SELECT name, max(c) AS c, arg_max(canonical, c) AS canonical FROM s GROUP BY 1)
+    SELECT name AS c_mktsegment, CASE WHEN c >= 0.9 THEN 'RESOLVED' WHEN c >= 0.8 THEN 'CANDIDATE' ELSE 'UNRESOLVED' END AS decision, CASE WHEN c >= 0.8 THEN canonical END AS canonical FROM b""")
+def resolve_entities(t: Tables) -> DataFrame:
+    aliases = t.spark.createDataFrame([("building", "B"), ("machinery", "M"), ("house-hold", "H"), ("autmobile", "A")], "alias string, canonical string")
+    return facts.resolved(t.customer, "c_mktsegment", aliases)
+
+
+@query("X40", r"""WITH m AS (SELECT doc_id, 'Email' AS label, unnest(regexp_extract_all(text, '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}')) AS value FROM documents UNION ALL SELECT doc_id, 'URL', unnest(regexp_extract_all(text, 'https?://[^\s]+')) FROM documents) SELECT DISTINCT doc_id, label, value FROM m""")
+def detect_actions(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.explode(facts.actions(F.col("text"))).alias("a")).select("doc_id", "a.label", "a.value")
+    return rows.where(F.col("label").isin("Email", "URL"))
+
+
+# -- reading queries -----------------------------------------------------------------------------------------------
+
+
+@query("X11 X12 X13 F2 S4", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' AND event_type = 'click' AND ts >= TIMESTAMP '2024-01-10'")
+def planned_query_events(t: Tables) -> DataFrame:
+    plan = reading.plan("clicks this month type:click after:2024-01-10", now="2024-01-31")
+    return t.events.where(reading.time_predicate(plan, F.col("ts")) & reading.type_predicate(plan, F.col("event_type"))).select("event_id")
+
+
+@query("X10 X13 F4", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 90000 AND 110000")
+def planned_query_amounts(t: Tables) -> DataFrame:
+    plan = reading.plan("orders around rs 1 lakh", now="2024-01-31")
+    return t.orders.where(reading.amount_predicate(plan, F.col("o_totalprice"))).select("o_orderkey")
+
+
+@query("R36 X11 R38", "SELECT * FROM (VALUES ('find the bill from last month', 'SEARCH', '2023-12-01', '2024-01-01'), ('how much did I spend this year', 'QUESTION', '2024-01-01', '2025-01-01'), ('yesterday', 'SEARCH', '2024-01-30', '2024-01-31')) v(query, tier, since, until)")
+def query_tiers(t: Tables) -> DataFrame:
+    said = ["find the bill from last month", "how much did I spend this year", "yesterday"]
+    rows = [(q, reading.tier(q), *(x.strftime("%Y-%m-%d") for x in reading.plan(q, now="2024-01-31").period)) for q in said]
+    return t.spark.createDataFrame(rows, "query string, tier string, since string, until string")
+
+
+@query("X45", "SELECT o_orderkey, strftime(o_orderdate - to_months(CAST(o_orderkey % 5 AS INT)), '%Y-%m') AS month FROM orders WHERE o_orderkey < 2000")
+def month_tokens(t: Tables) -> DataFrame:
+    return t.orders.where("o_orderkey < 2000").select("o_orderkey", F.date_format(F.add_months("o_orderdate", -(F.col("o_orderkey") % 5).cast("int")), "yyyy-MM").alias("month"))
