@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: The places between two characters.
+_EACH = r"(?!^)(?!\z)"
 
 #: What may be private, by kind, in the order in which they are tried at a place.
 PATTERNS = {
@@ -67,7 +69,7 @@ def permuted(value: Column, key: str, kind: str, letters: int = 26) -> Column:
         return _let(
             stream,
             lambda s: F.when(half == "", F.lit("")).otherwise(
-                F.array_join(F.transform(F.split(half, "(?!^)"), lambda c, j: _shifted(c, _number(F.substr(s, (j % 32) * 4 + 1, F.lit(4))), letters)), "")
+                F.array_join(F.transform(F.split(half, _EACH), lambda c, j: _shifted(c, _number(F.substr(s, (j % 32) * 4 + 1, F.lit(4))), letters)), "")
             ),
         )
 
@@ -97,7 +99,7 @@ def _filled(form: Column, chars: Column, pattern: str) -> Column:
         own = c.rlike(pattern)
         return F.struct(F.concat(s["out"], F.when(own, F.substr(chars, s["k"], F.lit(1))).otherwise(c)).alias("out"), (s["k"] + F.when(own, 1).otherwise(0)).alias("k"))
 
-    return F.aggregate(F.split(form, "(?!^)"), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step, lambda s: s["out"])
+    return F.aggregate(F.split(form, _EACH), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step, lambda s: s["out"])
 
 
 def _luhn(payload: Column) -> Column:
@@ -117,7 +119,7 @@ def _mod97(chars: Column) -> Column:
         code = F.ascii(c)
         return F.when(code >= 65, (r * 100 + code - 55) % 97).otherwise((r * 10 + code - 48) % 97)
 
-    return F.aggregate(F.split(chars, "(?!^)"), F.lit(0), step)
+    return F.aggregate(F.split(chars, _EACH), F.lit(0), step)
 
 
 def _card(m: Column, key: str) -> Column:
