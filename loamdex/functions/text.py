@@ -208,7 +208,7 @@ def digits_repaired(text: Column) -> Column:
 
 def seed64(text: Column) -> Column:
     """H * 31 + c over the characters, in 64 bits with wrapping."""
-    chars = F.split(text, "(?!^)")
+    chars = F.split(text, r"(?!^)(?!\z)")
     return F.when(text == "", F.lit(0).cast("long")).otherwise(F.aggregate(chars, F.lit(0).cast("long"), lambda h, c: _wrapped(h, F.ascii(c))))
 
 
