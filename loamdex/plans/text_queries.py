@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.functions import facts, text as tx
+from loamdex.functions import facts, spelling as sp, text as tx
 from loamdex.plans import reading
 from loamdex.plans.registry import Tables, query
 
@@ -200,3 +200,47 @@ def query_tiers(t: Tables) -> DataFrame:
 @query("X45", "SELECT o_orderkey, strftime(o_orderdate - to_months(CAST(o_orderkey % 5 AS INT)), '%Y-%m') AS month FROM orders WHERE o_orderkey < 2000")
 def month_tokens(t: Tables) -> DataFrame:
     return t.orders.where("o_orderkey < 2000").select("o_orderkey", F.date_format(F.add_months("o_orderdate", -(F.col("o_orderkey") % 5).cast("int")), "yyyy-MM").alias("month"))
+
+
+FOLD_SQL = "lower(word)"
+for _many, _one in sp.FOLDS:
+    FOLD_SQL = f"replace({FOLD_SQL}, '{_many}', '{_one}')"
+
+
+@query(
+    "R39",
+    f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), f AS (SELECT word, {FOLD_SQL} AS k FROM w), d AS (SELECT word, {"regexp_replace(" * 20}k{"".join(f", '{c}+', '{c}', 'g')" for c in "bcdfghjklmnprstvxkqz")} AS k FROM f)
+    SELECT word, CASE WHEN length(k) > 3 AND regexp_matches(k, '[aeiou]h$') THEN regexp_replace(k, 'h$', '') ELSE k END AS key FROM d""",
+)
+def folded_words(t: Tables) -> DataFrame:
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return words.select("word", sp.folded(F.col("word")).alias("key"))
+
+
+@query("R39", "SELECT * FROM (VALUES ('नमस्ते', 'namaste'), ('बिजली', 'bijlee'), ('किताब', 'kitaab'), ('राम', 'raam'), ('हिंदी', 'hindee')) v(word, latin)")
+def romanised_words(t: Tables) -> DataFrame:
+    words = t.spark.createDataFrame([("नमस्ते किताब राम, बिजली",), ("हिंदी",)], "text string").select(F.explode(sp.shadows(F.col("text"))).alias("word"))
+    return words.select("word", sp.romanised_of("word").alias("latin"))
+
+
+@query("X39", "SELECT event_id, 'ab' AS text, 0.5 AS confidence FROM events WHERE event_type = 'purchase'")
+def reader_steps(t: Tables) -> DataFrame:
+    steps = F.array(*[F.lit(x) for x in (0, 1, 1, 0, 2, 2)])
+    scores = F.array(*[F.lit(x) for x in (0.9, 0.25, 0.1, 0.9, 0.75, 0.1)])
+    rows = t.events.where("event_type = 'purchase'").select("event_id", sp.ctc_text(steps, scores, F.array(F.lit("a"), F.lit("b"))).alias("r"))
+    return rows.select("event_id", "r.text", "r.confidence")
+
+
+@query("X34 X37")
+def merged_readings(t: Tables) -> DataFrame:
+    """Three readings of each conversation's turns, two of them with misread letters, put together again."""
+    rows = t.conversations.where("conv_id % 4 = 0").select("conv_id", "turn", F.regexp_replace("text", r"\s+", " ").alias("text"))
+    readings = rows.withColumn("reading", F.lit(0))
+    for n in (1, 2):
+        readings = readings.unionByName(rows.withColumn("text", sp.misread(F.col("text"), F.concat_ws("/", F.lit(str(n)), "conv_id", "turn"), 30 * n)).withColumn("reading", F.lit(n)))
+    return sp.merged_readings(readings, "conv_id", "reading", "turn", "text").groupBy("conv_id").agg(F.count("*").alias("lines"), F.max("seen_by").alias("most"))
+
+
+@query("R35 S7")
+def direct_answers(t: Tables) -> DataFrame:
+    return sp.answers(t.documents, "doc_id", "text", "which version of the general public license").orderBy(F.desc("words"), "doc_id").limit(20)
