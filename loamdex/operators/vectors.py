@@ -97,3 +97,9 @@ def near_signatures(df: DataFrame, key: str, bits: str, radius: int) -> DataFram
         earlier = (F.col("block") > i) & (value(F.col("sa"), i) == value(F.col("sb"), i))
         seen = earlier if seen is None else seen | earlier
     return pairs.where((F.col("distance") <= radius) & ~seen).select("a", "b", "distance")
+
+
+def mean_bits(a: Column) -> Column:
+    """A 0/1 string: which of a picture's grey values (or any values) are above their mean."""
+    mean = F.aggregate(a, F.lit(0.0), lambda t, x: t + x.cast("double")) / F.size(a)
+    return F.transform(F.array(F.struct(a.alias("a"), mean.alias("m"))), lambda s: F.array_join(F.transform(s["a"], lambda x: F.when(x > s["m"], "1").otherwise("0")), ""))[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamdex.operators import lexical as lex
 from loamdex.plans.registry import Tables, query
 from loamdex.sources import files
 from loamdex.streaming.jobs import folder
@@ -48,3 +49,17 @@ def sheet_texts(t: Tables) -> DataFrame:
 
     rows = t.nation.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), F.lit(" "), F.col("n_name")).alias("cells")))).alias("s"))
     return rows.select("n_regionkey", sheet_text(F.lit("nations"), F.transform("s", lambda x: x["cells"])).alias("text"))
+
+
+@query("S10", "SELECT n_nationkey || '.pdf' AS path, n_name || chr(10) || '(' || n_regionkey || ')' AS text FROM nation")
+def pdf_files(t: Tables) -> DataFrame:
+    rows = t.nation.select("n_nationkey", F.array("n_name", F.concat(F.lit("("), F.col("n_regionkey").cast("string"), F.lit(")"))).alias("lines"))
+    return files.pages_of(files.packed_pdf(rows, "n_nationkey", "lines")).select("path", "text")
+
+
+@query("T8 R4", r"SELECT count(*) AS postings, CAST(sum(tf) AS BIGINT) AS words FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2)")
+def keyword_index_fill(t: Tables) -> DataFrame:
+    """Postings of all documents, written sorted by term in ranges, so that a term's postings are one file's row groups."""
+    place = folder(t.spark)
+    lex.postings(t.documents, "doc_id", "text").repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(place)
+    return t.spark.read.parquet(place).agg(F.count("*").alias("postings"), F.sum("tf").alias("words"))

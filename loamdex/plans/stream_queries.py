@@ -44,3 +44,10 @@ def stream_progress(t: Tables) -> DataFrame:
     place = jobs.folder(t.spark)
     sink = jobs.merged(place, ["user_id"], "done")
     return jobs.run_available(jobs.resumable_progress(events(t)), place, "update", sink).select("user_id", "done", "last_id")
+
+
+@query("T12", "SELECT count(*) AS n, round(sum(value), 4) AS total FROM events")
+def stream_small_batches(t: Tables) -> DataFrame:
+    """A file a batch, so a batch's size is bounded however much is waiting."""
+    stream = jobs.source(t.spark, f"{t.folder}/events.parquet", files_per_batch=1).select("event_id", "value")
+    return jobs.run_available(stream, jobs.folder(t.spark)).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

@@ -118,3 +118,8 @@ def merged_by_best_score(t: Tables) -> DataFrame:
 def near_dup_hamming(t: Tables) -> DataFrame:
     rows = t.embeddings.select("vec_id", vec.sign_bits(F.col("embedding")).alias("bits"))
     return vec.near_signatures(rows, "vec_id", "bits", 9)
+
+
+@query("X22 X23", "SELECT vec_id, array_to_string(list_transform(v, lambda x: CASE WHEN x > m THEN '1' ELSE '0' END), '') AS bits FROM (SELECT vec_id, v, list_sum(v) / len(v) AS m FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))")
+def mean_bit_hashes(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", vec.mean_bits(F.col("embedding")).alias("bits"))

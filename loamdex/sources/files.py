@@ -167,3 +167,20 @@ def packed_docx(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
 
     grouped = df.groupBy(F.col(key).alias("k")).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("s")).select("k", F.transform("s", lambda x: x[text]).alias("t"))
     return grouped.mapInPandas(pack, "path string, content binary")
+
+
+def made_pdf(lines: list[str]) -> bytes:
+    """A one-page PDF with a compressed text layer that ``pdf`` reads."""
+    said = b" T* ".join(b"(" + re.sub(rb"([()\\])", rb"\\\1", line.encode("latin-1", "replace")) + b") Tj" for line in lines)
+    body = zlib.compress(b"BT /F1 12 Tf " + said + b" ET")
+    return b"%PDF-1.4\n4 0 obj\n<< /Filter /FlateDecode /Length " + str(len(body)).encode() + b" >>\nstream\n" + body + b"\nendstream\nendobj\n%%EOF"
+
+
+def packed_pdf(df: DataFrame, key: str, lines: str) -> DataFrame:
+    """(path, content): one PDF per row, its lines an array."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": [f"{k}.pdf" for k in b["k"]], "content": [made_pdf(list(t)) for t in b["t"]]})
+
+    return df.select(F.col(key).alias("k"), F.col(lines).alias("t")).mapInPandas(pack, "path string, content binary")
