@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,7 +157,7 @@ def lifted(vectors: np.ndarray) -> np.ndarray:
 
 
 def _make(rows: pa.Table) -> pa.Table:
-    order = np.array(pa.compute.sort_indices(rows.column("gid")))
+    order = np.array(pc.sort_indices(rows.column("gid")))
     rows = rows.take(pa.array(order))
     vectors = np.array(rows.column("embedding").to_pylist(), np.float32)
     # a common scale keeps squares finite; the searched order doesn't change
