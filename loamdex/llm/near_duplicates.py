@@ -7,10 +7,11 @@ similarity is first estimated from all registers by likelihood and then verified
 
 How groups of any size stay bounded: documents with equal sets are one class from the start, and only the class's
 smallest id goes on.  In a bucket each class is compared with the bucket's smallest one; what links become one
-component.  Then only classes of one bucket that lie in different components are compared, in blocks of bounded
-size, so that no link between different texts is lost and no group is written out as pairs.
+component.  Then only classes of one bucket that lie in different components are compared, in blocks of bounded size that
+carry the full sets, and each pair in the first bucket it shares.  A block gives only links that join components.  So no
+link between different texts is lost and no group is written out as pairs.
 
-Chance of losing a pair at exactly 0.8: (1 - 0.8**5)**40 = 1.3e-7, and less above.
+Chance that a pair at exactly 0.8 shares no bucket: (1 - 0.8**5)**32 = 3e-6, and less above.
 
 Nulls and odd cases: a null or word-free text has an empty set, is linked with nothing and is kept.  A row without id
 takes no part: its component is null and it is kept.  Rows that repeat an id are one node; each gives a row.  An empty
@@ -27,18 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.llm.words import mix, shingle_numbers, slices, word_numbers
-from loamdex.llm.work import written
+from loamdex.llm.work import removed, shared_dir, written
 
-M, BAND_ROWS, BANDS = 256, 5, 40
+M, BAND_ROWS, BANDS = 256, 5, 32
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Standard errors below the threshold at which an estimate still lets a pair through to the check on full sets.
-SLACK = 5.0
+SLACK = 4.0
 #: Classes of one bucket that are compared with one another in one step.
 BLOCK = 512
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
-_SKETCH = "id long, n long, digest binary, registers binary, bands array<long>, members binary"
+_SKETCH = "id long, n long, digest binary, registers binary, bands array<long>"
 
 
 def registers(elements: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -119,20 +120,26 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
+    """Each row's set of shingles as sorted numbers of 48 bits: two of a document's 20,000 agree with a chance below one in a million."""
+    numbers, begins, _, _ = word_numbers(batch.column(1))
+    shingles, begins = shingle_numbers(numbers, begins, k)
+    return [np.unique(shingles[begins[r] : begins[r + 1]] >> _U(16)) for r in range(batch.num_rows)]
+
+
 def _sketch(k: int):
+    """(id, text) -> the id, the set's size, 128 bits and the size that name the set, registers and bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
-                numbers, begins, _, _ = word_numbers(batch.column(1))
-                shingles, begins = shingle_numbers(numbers, begins, k)
-                # 48 bits name a shingle: two of a document's 20,000 agree with a chance below one in a million
-                sets = [np.unique(shingles[begins[r] : begins[r + 1]] >> _U(16)) for r in range(batch.num_rows)]
+                sets = _sets(batch, k)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 regs = registers(flat, at)
                 bands = band_numbers(regs)
-                total = np.zeros((2, batch.num_rows), np.uint64)  # 128 bits that name a whole set
+                total = np.zeros((2, batch.num_rows), np.uint64)
                 full = np.flatnonzero(sizes)
                 if len(full):
                     total[0, full] = np.add.reduceat(mix(flat + _GOLD), at[full])
@@ -145,35 +152,53 @@ def _sketch(k: int):
                         pa.array(digests, pa.binary()),
                         pa.array([r.tobytes() for r in regs], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(bands) * BANDS + 1, BANDS), pa.int32()), pa.array(bands.ravel())),
-                        pa.array([_packed(s) for s in sets], pa.binary()),
                     ],
-                    names=["id", "n", "digest", "registers", "bands", "members"],
+                    names=["id", "n", "digest", "registers", "bands"],
                 )
 
     return run
 
 
-def _likely(n_a, n_b, regs_a: list[bytes], regs_b: list[bytes], percent: int) -> np.ndarray:
-    """Which pairs are worth the check on full sets."""
-    n_a, n_b = np.asarray(n_a, float), np.asarray(n_b, float)
-    fits = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-    at = np.flatnonzero(fits)
+def _members(k: int):
+    """(id, text) -> the id and its full set, packed; a row that repeats one before it in the task gives none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for whole in batches:
+            for batch in slices(whole, 1):
+                out = []
+                for i, members in zip(batch.column(0).to_pylist(), map(_packed, _sets(batch, k)), strict=True):
+                    if (key := (i, hash(members))) not in seen:
+                        seen.add(key)
+                        out.append((i, members))
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([m for _, m in out], pa.binary())], names=["id", "members"])
+
+    return run
+
+
+def _likely(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are worth the check on full sets, and their estimates (0 elsewhere)."""
     least = percent / 100
-    for lo in range(0, len(at), 4096):
-        part = at[lo : lo + 4096]
-        a, b = (np.frombuffer(b"".join(r[i] for i in part), np.uint16).reshape(-1, M) for r in (regs_a, regs_b))
-        fits[part] = estimated(a, b, n_a[part], n_b[part]) >= least - SLACK * np.sqrt(least * (1 - least) / M)
-    return fits
+    least -= SLACK * np.sqrt(least * (1 - least) / M)
+    out = np.zeros(len(a))
+    # registers agree at least as often as sets overlap, so pairs far below need no likelihood
+    at = np.flatnonzero((100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)) & ((a == b).sum(1) >= (least - 0.02) * M))
+    if len(at):
+        out[at] = estimated(a[at], b[at], n_a[at], n_b[at])
+    return out >= least, out
 
 
 def _star(percent: int):
     """(a, b, n_a, n_b, regs_a, regs_b) -> the pairs whose estimate is high enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            keep = _likely(n_a, n_b, batch.column(4).to_pylist(), batch.column(5).to_pylist(), percent)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 4096):
+                batch = whole.slice(lo, 4096)
+                n_a, n_b = (batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (2, 3))
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, M) for i in (4, 5))
+                keep = pa.array(_likely(n_a, n_b, a, b, percent)[0])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
@@ -194,37 +219,72 @@ def _verify(percent: int):
     return run
 
 
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two sorted sets share."""
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+
+
 def _across(percent: int):
-    """All rows of one bucket's pair of blocks (id, n, component, registers, side) -> likely pairs across components."""
+    """All rows of one bucket's pair of blocks (id, n, component, registers, members, side) -> links that join its components.
+
+    The likeliest pairs are verified first; pairs whose components are joined by then need no verification.
+    """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        ids, n, comp, side = (rows.column(c).to_numpy() for c in ("id", "n", "component", "side"))
-        regs = rows.column("registers").to_pylist()
+        ids, comp, side = (rows.column(c).to_numpy() for c in ("id", "component", "side"))
+        n, members = rows.column("n").to_numpy().astype(float), rows.column("members")
+        regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, M)
+        bands = band_numbers(regs)
+        here = np.flatnonzero(bands[0] == key[0].as_py())[0]
         alone = side.min() == side.max()  # a block with itself
         left = np.arange(len(ids)) if alone else np.flatnonzero(side == 0)
         right = np.arange(len(ids)) if alone else np.flatnonzero(side == 1)
-        out_a, out_b = [], []
-        for i in left:
-            others = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) if alone else True)]
-            if len(others):
-                keep = _likely(np.full(len(others), n[i]), n[others], [regs[i]] * len(others), [regs[o] for o in others], percent)
-                others = others[keep]
-                out_a.append(np.minimum(ids[i], ids[others]))
-                out_b.append(np.maximum(ids[i], ids[others]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([*out_a, empty]), "b": np.concatenate([*out_b, empty])})
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, 16384 // max(1, len(right)))
+        for lo in range(0, len(left), step):
+            i, j = (x.ravel() for x in np.meshgrid(left[lo : lo + step], right, indexing="ij"))
+            go = comp[i] != comp[j]
+            if alone:
+                go &= ids[i] < ids[j]
+            i, j = i[go], j[go]
+            go = ~(bands[i, :here] == bands[j, :here]).any(1)  # else another bucket has the pair
+            i, j = i[go], j[go]
+            keep, likely = _likely(n[i], n[j], regs[i], regs[j], percent)
+            found.append((i[keep], j[keep], likely[keep]))
+        i, j, likely = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((ids[j], ids[i], -likely))
+        root, sets, out = {c: c for c in np.unique(comp).tolist()}, {}, []
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        def members_of(r: int) -> np.ndarray:
+            if r not in sets:
+                sets[r] = _unpacked(members[r].as_py())
+            return sets[r]
+
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            x, y = find(int(comp[a])), find(int(comp[b]))
+            if x != y:
+                both = _shared(members_of(a), members_of(b))
+                if 100 * both >= percent * (n[a] + n[b] - both):
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, place: str | None = None) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), for every id on an edge.
 
     Large-star and small-star steps in turn; each is an aggregation with map-side minima and a join, and each round's
     edges are written to the shared folder.
     """
     spark = edges.sparkSession
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", place)
     before = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -236,7 +296,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        now = written(small.where("u <> v").distinct(), "edges")
+        now = written(small.where("u <> v").distinct(), "edges", place)
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.union(now.select("v", "v").distinct()) if before else spark.createDataFrame([], "id long, component long")
 
@@ -253,56 +313,55 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of ``words``-word shingles.
     """
-    sketch = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_sketch(words), _SKETCH), "sketch")
+    spark = docs.sparkSession
+    place = shared_dir(spark)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sketch = written(texts.mapInArrow(_sketch(words), _SKETCH), "sketch", place)
     named = sketch.where("id is not null")
     # classes of equal sets; the smallest id stands for its class
-    classes = written(named.where("n > 0").groupBy("digest").agg(F.min_by(F.struct("id", "n", "bands"), "id").alias("x")).select("digest", "x.id", "x.n", "x.bands"), "classes")
+    classes = written(named.where("n > 0").groupBy("digest").agg(F.min_by(F.struct("id", "n", "bands"), "id").alias("x")).select("digest", "x.id", "x.n", "x.bands"), "classes", place)
     member = F.struct("id", "n")
     buckets = classes.select(F.explode("bands").alias("bucket"), "id", "n")
     heads = buckets.groupBy("bucket").agg(F.min(member).alias("head"), F.count("*").alias("size")).where("size > 1")
-    shared = written(buckets.join(heads, "bucket").select("bucket", "id", "n", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"), "size"), "buckets")
+    shared = written(buckets.join(heads, "bucket").select("bucket", "id", "n", F.col("head.id").alias("head"), F.col("head.n").alias("head_n"), "size"), "buckets", place)
     likely_size = F.expr(f"100 * least(n, head_n) >= {percent} * greatest(n, head_n)")
     regs = sketch.select("id", "registers")
     stars = shared.where(likely_size & (F.col("id") != F.col("head"))).groupBy(F.col("head").alias("a"), F.col("id").alias("b")).agg(F.first("head_n").alias("n_a"), F.first("n").alias("n_b"))
-    regs_of = written(regs.join(shared.select("id").distinct(), "id").groupBy("id").agg(F.first("registers").alias("registers")), "registers")
+    regs_of = written(regs.join(shared.select("id").distinct(), "id").groupBy("id").agg(F.first("registers").alias("registers")), "registers", place)
     stars = (
         stars.join(regs_of.select(F.col("id").alias("b"), F.col("registers").alias("regs_b")), "b")
         .join(regs_of.select(F.col("id").alias("a"), F.col("registers").alias("regs_a")), "a")
         .select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
         .mapInArrow(_star(percent), "a long, b long")
     )
-    # a class's own set: the first row of its id with its digest
-    sets = named.select("id", "digest", "members").join(classes.select("id", "digest").join(shared.select("id").distinct(), "id", "left_semi"), ["id", "digest"], "left_semi")
-    sets = written(sets.groupBy("id").agg(F.first("members").alias("members")), "sets")
-    links = written(_checked(stars, sets, percent), "links")
+    # full sets of what shares a bucket, worked out again from the texts
+    sets = texts.join(shared.select("id").distinct(), "id", "left_semi").mapInArrow(_members(words), "id long, members binary")
+    sets = written(sets, "sets", place)
+    links = written(_checked(stars, sets, percent).distinct(), "links", place)
     # an id that stands on several rows is one node
     rows = named.select("id", "digest", "n")
     of_row = rows.where("n > 0").join(classes.select("digest", F.col("id").alias("rep")), "digest")
     several = of_row.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < id or a <> b")
     repeats = of_row.select("id", "rep").join(several.where("a <> b").select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     links = links.union(repeats.distinct())
-    first = written(components(links), "components")
-    # what shares a bucket but not yet a component, in blocks
-    labelled = shared.select("bucket", "id", "n", "size").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    left = labelled.join(open_, "bucket", "left_semi").where("size > 2")
+    first = written(components(links, place), "components", place)
+    # what shares a bucket but not yet a component, in blocks that carry the full sets
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(7)), blocks).cast("int")
-    left = left.join(regs_of, "id").withColumn("blocks", blocks).withColumn("own", own)
+    labelled = shared.where("size > 2").select("bucket", "id", "n", "size").join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    left = labelled.join(open_, "bucket", "left_semi").join(regs_of, "id").join(sets, "id").withColumn("blocks", blocks).withColumn("own", own)
     left = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    left = left.select(
-        "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "component", "registers", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
-    )
-    across = left.groupBy("bucket", "x", "y").applyInArrow(_across(percent), "a long, b long").distinct()
-    across = across.join(stars_done(shared), ["a", "b"], "left_anti")
-    more = written(_checked(across, sets, percent), "more")
-    final = components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)) if not more.isEmpty() else first
+    side = F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side")
+    left = left.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "n", "component", "registers", "members", side)
+    more = written(left.groupBy("bucket", "x", "y").applyInArrow(_across(percent), "a long, b long").distinct(), "more", place)
+    final = first
+    if not more.isEmpty():
+        final = written(components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), place), "components", place)
     out = sketch.select("id", "n", "digest").join(classes.select("digest", F.col("id").alias("rep")), "digest", "left")
     out = out.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", F.when(F.col("n") > 0, F.col("rep")), "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
-
-
-def stars_done(shared: DataFrame) -> DataFrame:
-    """Pairs that were compared as a bucket's member with its head."""
-    return shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    result = written(out, "near_duplicates")
+    removed(spark, place)
+    return result

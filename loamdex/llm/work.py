@@ -22,14 +22,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loamdex-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, place: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder (below ``place``, if given) and read it again.
+
+    The shuffle files of the job go when it ends: what follows reads the table.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
+    path = f"{place}/{name}-{uuid.uuid4().hex[:8]}" if place else f"{shared_dir(spark)}/{name}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, place: str) -> None:
+    """Delete a folder of intermediate tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """How many parts a shuffle by an own key is dealt into: the session's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
