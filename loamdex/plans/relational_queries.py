@@ -279,7 +279,7 @@ def anti_join_unlabelled(t: Tables) -> DataFrame:
 
 @query("J6 W1", "SELECT a.l_orderkey, a.l_linenumber FROM lineitem a WHERE a.l_orderkey < 20000 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag = a.l_returnflag AND b.l_linenumber < a.l_linenumber)")
 def theta_first_line_item(t: Tables) -> DataFrame:
-    rows = t.lineitem.where("l_orderkey < 20000").select("l_orderkey", "l_linenumber", "l_returnflag")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
     # no row of the same order and flag has a smaller line: ties at the smallest all stay
     w = Window.partitionBy("l_orderkey", "l_returnflag")
     return rows.withColumn("least", F.min("l_linenumber").over(w)).where("l_linenumber = least").select("l_orderkey", "l_linenumber")
@@ -393,7 +393,7 @@ def stage_totals(t: Tables) -> DataFrame:
 )
 def best_of_first_ties(t: Tables) -> DataFrame:
     order = [F.asc("l_shipdate"), F.asc("l_linenumber")]
-    return op.best_of_first_ties(t.lineitem.where("l_orderkey < 20000"), "l_orderkey", order, F.col("l_returnflag"), [F.desc("l_quantity")]).select("l_orderkey", "l_linenumber")
+    return op.best_of_first_ties(t.lineitem, "l_orderkey", order, F.col("l_returnflag"), [F.desc("l_quantity")]).select("l_orderkey", "l_linenumber")
 
 
 @query(
