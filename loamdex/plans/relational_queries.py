@@ -435,7 +435,7 @@ def stretches_of_six(t: Tables) -> DataFrame:
 )
 def effective_date(t: Tables) -> DataFrame:
     first = op.first_per(eav(t).where("type = 'DATE' and item_id % 3 <> 0").select("item_id", "ts"), ["item_id"], [F.asc("ts")])
-    rows = t.orders.where("o_orderkey < 5000").select(F.col("o_orderkey").alias("item_id")).join(first, "item_id", "left")
+    rows = t.orders.select(F.col("o_orderkey").alias("item_id")).join(first, "item_id", "left")
     return rows.select("item_id", day(F.coalesce("ts", F.lit("1990-01-01").cast("timestamp"))).alias("effective"))
 
 
@@ -471,7 +471,7 @@ def recent_distinct_history(t: Tables) -> DataFrame:
 )
 def packed_key_sort(t: Tables) -> DataFrame:
     key = F.col("l_quantity").cast("long") * 1024 + F.col("l_linenumber")
-    return t.lineitem.where("l_orderkey < 3000").orderBy(key.desc(), "l_orderkey", "l_linenumber").limit(50).select("l_orderkey", "l_linenumber")
+    return t.lineitem.orderBy(key.desc(), "l_orderkey", "l_linenumber").limit(50).select("l_orderkey", "l_linenumber")
 
 
 @query("O6", "SELECT event_id FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id DESC LIMIT 15")

@@ -44,3 +44,20 @@ def test_best_of_first_ties_reads_all_orders(run):
         own = sorted((x for x in rows if x[0] == key), key=lambda x: (x[4], x[1]))
         want.append(min(own, key=lambda x: (x[3] != own[0][3], -x[2], x[4], x[1]))[:2])
     assert run("best_of_first_ties", lineitem=(rows, LINE)) == sorted(want)
+
+
+def test_packed_key_sort_finds_the_best_of_all_orders(run):
+    rows = [x for seed in range(3, 6) for x in lines(seed)]
+    rows = [(k + 7 * i % 13, *rest) for i, (k, *rest) in enumerate(rows)]
+    assert len(rows) > 50
+    best = sorted(rows, key=lambda x: (-(int(x[2]) * 1024 + x[1]), x[0], x[1]))[:50]
+    assert run("packed_key_sort", lineitem=(rows, LINE)) == sorted(x[:2] for x in best)
+
+
+def test_effective_date_of_every_order(run):
+    keys = [1, 3, 4_999, 5_000, 5_001, 600_000, 10**12, 10**12 + 1]
+    orders = [(k, 1, 10.0, datetime(1996, 5, 1 + i)) for i, k in enumerate(keys)]
+    customer = [(1, "BUILDING")]
+    want = sorted((k, "1990-01-01" if k % 3 == 0 else f"{d:%Y-%m-%d}") for k, _, _, d in orders)
+    got = run("effective_date", orders=(orders, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp"), customer=(customer, "c_custkey long, c_mktsegment string"))
+    assert got == want
