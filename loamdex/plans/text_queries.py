@@ -127,14 +127,14 @@ def amount_extract(t: Tables) -> DataFrame:
     SELECT o_orderkey, 'AMOUNT' AS kind, price AS value, CAST(price AS DOUBLE) AS number, 0.9 AS trust FROM o UNION ALL SELECT o_orderkey, 'ID_NUMBER', 'AB' || (o_orderkey + 10000), NULL, 0.9 FROM o
     UNION ALL SELECT o_orderkey, 'DATE', day, NULL, 0.8 FROM o UNION ALL SELECT o_orderkey, 'PARTY', who, NULL, 0.6 FROM o""")
 def facts_of_receipts(t: Tables) -> DataFrame:
-    rows = t.orders.where("o_orderkey < 3000").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     said = F.concat(F.lit("Invoice ab"), (F.col("o_orderkey") + 10000).cast("string"), F.lit("\nGrand total: Rs "), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit("\nPaid to "), "c_mktsegment", F.lit(", on "), F.date_format("o_orderdate", "dd/MM/yyyy"))
     return facts.facts(rows.select("o_orderkey", said.alias("text")), "o_orderkey", "text")
 
 
 @query("X9 X12", """SELECT d, m, y, strftime(try_cast(y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE), '%Y-%m-%d') AS day FROM (SELECT CAST(o_orderkey % 33 AS INT) AS d, CAST(o_orderkey % 14 AS INT) AS m, CAST(1990 + o_orderkey % 30 AS INT) AS y FROM orders WHERE o_orderkey < 3000)""")
 def guarded_dates(t: Tables) -> DataFrame:
-    rows = t.orders.where("o_orderkey < 3000").selectExpr("cast(o_orderkey % 33 as int) d", "cast(o_orderkey % 14 as int) m", "cast(1990 + o_orderkey % 30 as int) y")
+    rows = t.orders.selectExpr("cast(o_orderkey % 33 as int) d", "cast(o_orderkey % 14 as int) m", "cast(1990 + o_orderkey % 30 as int) y")
     return rows.select("d", "m", "y", F.date_format(facts.date_of(F.col("d"), F.col("m"), F.col("y")), "yyyy-MM-dd").alias("day"))
 
 
@@ -199,7 +199,7 @@ def query_tiers(t: Tables) -> DataFrame:
 
 @query("X45", "SELECT o_orderkey, strftime(o_orderdate - to_months(CAST(o_orderkey % 5 AS INT)), '%Y-%m') AS month FROM orders WHERE o_orderkey < 2000")
 def month_tokens(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey < 2000").select("o_orderkey", F.date_format(F.add_months("o_orderdate", -(F.col("o_orderkey") % 5).cast("int")), "yyyy-MM").alias("month"))
+    return t.orders.select("o_orderkey", F.date_format(F.add_months("o_orderdate", -(F.col("o_orderkey") % 5).cast("int")), "yyyy-MM").alias("month"))
 
 
 FOLD_SQL = "lower(word)"
