@@ -89,3 +89,16 @@ def test_guarded_dates_and_month_tokens_of_every_order(run):
         months.append((k, f"{at // 12}-{at % 12 + 1:02}"))
     assert run("guarded_dates", orders=(orders, ORDER)) == sorted(dates, key=repr)
     assert run("month_tokens", orders=(orders, ORDER)) == sorted(months, key=repr)
+
+
+SAID = "conv_id long, turn int, role string, text string"
+
+
+def test_merged_readings_and_word_files_of_every_conversation(run):
+    rows = [(c, n, "user", f"turn {n} of talk number {c}") for c in range(1, 13) for n in range(1 + c % 3)]
+    turns = {c: 1 + c % 3 for c in range(1, 13)}
+    got = run("merged_readings", conversations=(rows, SAID))
+    assert sorted(x[0] for x in got) == sorted(turns)
+    assert all(lines >= 1 and 1 <= most <= 3 for _, lines, most in got)
+    want = [(f"{c}.docx", 0, n, sum(len(x[3]) for x in rows if x[0] == c)) for c, n in turns.items()]
+    assert run("word_files", conversations=(rows, SAID)) == sorted(want, key=repr)
