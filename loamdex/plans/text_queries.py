@@ -26,7 +26,7 @@ def sentence_chunks(t: Tables) -> DataFrame:
 
 @query("X1", "SELECT doc_id, md5(nfc_normalize(text)) AS hash FROM documents WHERE lang <> 'en'")
 def nfc_text(t: Tables) -> DataFrame:
-    return t.documents.where("lang <> 'en'").select("doc_id", F.md5(tx.nfc("text").cast("binary")).alias("hash"))
+    return t.documents.select("doc_id", F.md5(tx.nfc("text").cast("binary")).alias("hash"))
 
 
 @query("X4 A25", """SELECT lang, count(*) AS n, CAST(sum(length(regexp_replace(text, '[^\\p{L}]', '', 'g'))) AS BIGINT) AS letters, CAST(sum(length(regexp_replace(text, '[^0-9]', '', 'g'))) AS BIGINT) AS digits, 'en' AS script FROM documents GROUP BY 1""")

@@ -1,6 +1,8 @@
 """Queries over small tables whose keys go beyond those of the given ones: no row is left out."""
 
+import hashlib
 import random
+import unicodedata
 from datetime import datetime, timedelta
 
 import pytest
@@ -102,3 +104,19 @@ def test_merged_readings_and_word_files_of_every_conversation(run):
     assert all(lines >= 1 and 1 <= most <= 3 for _, lines, most in got)
     want = [(f"{c}.docx", 0, n, sum(len(x[3]) for x in rows if x[0] == c)) for c, n in turns.items()]
     assert run("word_files", conversations=(rows, SAID)) == sorted(want, key=repr)
+
+
+def test_every_document_is_normalised_and_searched(run):
+    said = ["Cafe\u0301 au lait", "the general public was there", "a public license", "GENERAL publics  licenses here", "nothing of it", "general, but not public", ""]
+    runs = [0, 2, 2, 3, 0, 0, 0]
+    docs = [(i, text, lang, "web", len(text)) for i, (text, lang) in enumerate(zip(said, ["en", "de", None, "en", "fr", None, "en"]))]
+    tables = {"documents": (docs + [(99, None, None, "web", 0)], "doc_id long, text string, lang string, source string, n_chars int")}
+    hashes = [(i, hashlib.md5(unicodedata.normalize("NFC", text).encode()).hexdigest()) for i, text in enumerate(said)]
+    assert run("nfc_text", **tables) == sorted([*hashes, (99, None)], key=repr)
+    assert sorted(run("words_in_order", **tables)) == [*enumerate(runs), (99, 0)]
+
+
+def test_character_errors_of_every_customer(run):
+    rows = [(k, s) for k in (1, 499, 500, 501, 15_000) for s in ("MACHINERY",)] + [(600, "MACHINES")]
+    want = [(k, 0, 0.0, 1.0) for k, s in rows if s == "MACHINERY"] + [(600, 2, 0.25, 0.75)]
+    assert sorted(run("character_errors", customer=(rows, "c_custkey long, c_mktsegment string"))) == sorted(want)
