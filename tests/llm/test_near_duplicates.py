@@ -1,5 +1,6 @@
 """Near duplicates against all pairs, and odd inputs."""
 
+import itertools
 import random
 
 import numpy as np
@@ -57,10 +58,56 @@ def test_repeated_and_missing_ids_and_empty_table(spark):
     rows = [(1, "a b c"), (1, "a b c"), (2, "a b c"), (None, "a b c"), (3, None), (3, "x y z"), (4, "x y z")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in nd.near_duplicates(df, words=2).collect())
-    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True), (4, 3, False)]
+    assert got == [(0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (3, 3, True), (4, 3, False)]
     assert nd.near_duplicates(df.limit(0), words=2).count() == 0
 
 
+def test_an_id_with_two_texts_joins_the_groups_of_both(spark):
+    """In all row orders: documents 2 and 3 are near copies of the two texts of document 1."""
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a.replace("a30", "z")), (3, b.replace("b30", "z"))]
+    for order in itertools.permutations(rows):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = {(r.doc_id, r.component_id, r.kept) for r in nd.near_duplicates(df, words=2).collect()}
+        assert got == {(1, 1, True), (2, 1, False), (3, 1, False)}
+
+
+def test_rows_without_id_keep_one_set(spark):
+    rows = [(None, "a b c d"), (None, "a b c d"), (None, "x y z"), (None, None), (7, "x y z")]
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    assert all(r.component_id is None and r.kept for r in got if r.n_shingles in (0, 3))
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got if r.n_shingles == 2) == [(0, 7, False), (7, 7, True)]
+
+
+def test_small_sets_at_the_threshold(spark):
+    """Pairs of 4 and 5 shingles, and of 24 and 30, share exactly 0.8: none may be lost."""
+    texts = {}
+    for g in range(300):
+        texts[10 * g] = " ".join(f"g{g}x{i}" for i in range(6))
+        texts[10 * g + 1] = " ".join(f"g{g}x{i}" for i in range(5))
+        texts[10 * g + 2] = " ".join(f"h{g}x{i}" for i in range(31))
+        texts[10 * g + 3] = " ".join(f"h{g}x{i}" for i in range(25))
+    got = run(spark, texts, 2)
+    assert {i: r.component_id for i, r in got.items()} == components(texts, 2)[0]
+
+
+def test_a_bucket_of_many_components(spark, monkeypatch):
+    """Texts that share most of their shingles, but too few to be linked, in small blocks and rounds."""
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    monkeypatch.setattr(nd, "HEADS", 2)
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(70)]
+    texts = {}
+    for i in range(120):
+        own = common + [f"o{i}y{j}" for j in range(25)]
+        texts[i] = " ".join(own)
+        if i % 3 == 0:
+            own[rng.randrange(len(own))] = "z"
+            texts[1000 - i] = " ".join(own)
+    got = run(spark, texts, 2)
+    assert {i: r.component_id for i, r in got.items()} == components(texts, 2)[0]
+
+
 def test_registers_estimate_similarity_and_merge():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 4000, dtype=np.uint64)
