@@ -15,8 +15,8 @@ class wins or the text has no letters.
 Trigrams: ASCII letters count as lower case, all other ASCII as one blank, trigrams without letters don't count.
 Neighbouring trigrams overlap, so their joint evidence is tempered by one third.
 
-The trigram model is fitted on at most ``sample`` rows a language (those with the smallest hash of their id) whose
-declared language is one of ``languages``.
+The trigram model is fitted on at most ``sample`` labelled rows a language (different ones, with the smallest hashes of
+id and text).  The label is no evidence: where a table's declarations are the labels, leave ``declared`` out.
 
 Nulls and odd cases: a null, empty or letter-free text is not accepted and its language is null; a null declaration,
 suffix or host says nothing; whole texts are read; ties go to the earlier language; repeated rows give equal rows; an
@@ -32,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamdex.llm.main_text import main_texts
 from loamdex.llm.words import slices, texts
-from loamdex.llm.work import written
+from loamdex.llm.work import removed, shared_dir, written
 
 LANGUAGES = ("de", "en", "es", "fr")
 OTHER = "other"
@@ -93,12 +94,16 @@ def _add(rows: pa.Table) -> pa.Table:
 def trained(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
     """The trigram model, from at most ``sample`` labelled rows a language."""
     label = F.substring_index(F.lower(F.col(label_col)), "-", 1)
-    rows = docs.select(F.col(id_col).alias("id"), label.alias("language"), F.col(text_col).alias("text")).where(F.col("language").isin(*languages) & F.col("id").isNotNull())
-    # the smallest hashes of each language: per task first, so no language is ranked in one task
-    ids = rows.select("id", "language", F.xxhash64("id").alias("h"), F.spark_partition_id().alias("task"))
-    near = ids.withColumn("n", F.row_number().over(Window.partitionBy("language", "task").orderBy("h", "id"))).where(F.col("n") <= sample)
-    chosen = near.withColumn("n", F.row_number().over(Window.partitionBy("language").orderBy("h", "id"))).where(F.col("n") <= sample).select("id", "language").distinct()
-    own = rows.join(F.broadcast(chosen), ["id", "language"]).select("language", "text")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), label.alias("language"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("h"))
+    rows = rows.where(F.col("language").isin(*languages) & F.col("id").isNotNull())
+    # a hash bound that a little more than the sample is below; then the smallest hashes of these few
+    many = {r.language: r.n for r in rows.groupBy("language").agg(F.count("*").alias("n")).collect()}
+    bound = F.coalesce(*[F.when(F.col("language") == name, F.lit(min(1.0, (1.5 * sample + 50) / n))) for name, n in sorted(many.items())], F.lit(0.0))
+    near = rows.where(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53) < bound).select("id", "language", "h").distinct()
+    first = Window.partitionBy("language").orderBy("h", "id")
+    chosen = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).drop("n")
+    own = rows.join(F.broadcast(chosen), ["id", "language", "h"]).dropDuplicates(["id", "language", "h"]).select("language", "text")
     own = own.repartition(8)  # a bounded sample
     counts = own.mapInArrow(_count_sample, "language string, counts binary").groupBy("language").applyInArrow(_add, "language string, counts binary")
     return fit({r.language: np.frombuffer(r.counts, "<i8") for r in counts.collect()}, languages)
@@ -133,11 +138,12 @@ def identified(
     model: np.ndarray | None = None,
     languages: Sequence[str] = LANGUAGES,
     sample: int = SAMPLE,
+    keep: str | None = None,
 ) -> DataFrame:
-    """One row per input row: id, language (null if not accepted), confidence (of the best class), by_text, accepted.
+    """One row per input row: id, language (null if not accepted), confidence (of the best class), by_text, accepted, text_md5.
 
-    ``declared``, ``suffix``, ``host`` and ``domain`` (the host's parent) are columns of ``docs``; what is left out says nothing.
-    Either a ``model`` or the ``label_col`` to fit one on is needed.
+    ``declared``, ``suffix``, ``host`` and ``domain`` (the host's parent) are columns of ``docs``; what is left out says nothing.  ``keep`` is a
+    column that is handed on.  Either a ``model`` or the ``label_col`` to fit one on is needed.
     """
     spark = docs.sparkSession
     if model is None:
@@ -146,11 +152,12 @@ def identified(
     k = len(names)
     sent = spark.sparkContext.broadcast(model)
     say = lambda c, name: (c if c is not None else F.lit(None)).cast("string").alias(name)
-    clues = [say(F.substring_index(F.lower(declared), "-", 1) if declared is not None else None, "declared"), say(suffix, "suffix"), say(host, "host"), say(domain, "domain")]
+    clues = [say(F.substring_index(F.lower(declared), "-", 1) if declared is not None else None, "declared"), say(suffix, "suffix"), say(host, "host"), say(domain, "domain"), F.md5(F.col(text_col).cast("string")).alias("text_md5"), say(F.col(keep) if keep else None, "kept_column")]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *clues)
-    rows = rows.mapInArrow(_likelihood(sent, k), "id long, likelihood array<double>, n long, declared string, suffix string, host string, domain string")
+    rows = rows.mapInArrow(_likelihood(sent, k), "id long, likelihood array<double>, n long, declared string, suffix string, host string, domain string, text_md5 string, kept_column string")
     best = F.expr("array_position(likelihood, array_max(likelihood)) - 1").cast("int")
-    rows = written(rows.withColumn("first", F.when(F.col("n") > 0, best)), "likelihoods")
+    place = shared_dir(spark)
+    rows = written(rows.withColumn("first", F.when(F.col("n") > 0, best)), "likelihoods", place)
     # -- counts by the text alone; OTHER doesn't count as a language of a host
     tally = [F.count(F.when(F.col("first") == i, 1)).alias(f"n{i}") for i in range(k)]
     every = rows.agg(*tally).first()
@@ -164,7 +171,9 @@ def identified(
         known = rows.where(F.col(level).isNotNull()).groupBy(level).agg(F.array(*tally).alias(f"by_{level}"))
         if level == "domain":  # a domain's counts hold all its hosts
             known = rows.where(F.col(level).isNotNull()).groupBy(level, "host").agg(*tally).groupBy(level).agg(F.array(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(k)]).alias(f"by_{level}"))
-        rows = rows.join(known, level, "left")
+        # rows that the level says nothing of meet no key, and not all in one task
+        key = F.coalesce(F.col(level), F.concat(F.lit("\0"), F.pmod(F.xxhash64("text_md5", "id"), F.lit(1009)).cast("string")))
+        rows = rows.withColumn("key", key).join(known.withColumnRenamed(level, "key"), "key", "left").drop("key")
     own = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(F.col("first") == i, 1.0).otherwise(0.0))
 
     def less_own(level: str) -> Column:
@@ -197,13 +206,18 @@ def identified(
     rows = rows.withColumn("confidence", F.round(1 / F.aggregate("joint", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top"))), 6))
     accepted = (F.col("n") > 0) & (F.col("class") < k)
     literal = F.array(*[F.lit(x) for x in names])
-    return rows.select(
+    out = rows.select(
         F.col("id").alias(id_col),
         F.when(accepted, F.element_at(literal, F.col("class"))).alias("language"),
         "confidence",
         F.when(F.col("first").isNotNull(), F.element_at(literal, F.col("first") + 1)).alias("by_text"),
         accepted.alias("accepted"),
+        "text_md5",
+        *([F.col("kept_column").alias(keep)] if keep else []),
     )
+    result = written(out, "languages")
+    removed(spark, place)
+    return result
 
 
 def address_clues(url: Column) -> tuple[Column, Column, Column]:
@@ -215,6 +229,15 @@ def address_clues(url: Column) -> tuple[Column, Column, Column]:
 
 
 def declared_language(html: Column) -> Column:
-    """What a page's html element declares."""
-    found = F.regexp_extract(html, r"(?is)^.{0,2048}?<html\b[^>]{0,2048}?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1)
+    """What a page's html element declares, however far in it stands and however long it is."""
+    start = F.regexp_extract(html, r"(?is)<html(?=[\s/>])([^>]*)", 1)
+    found = F.regexp_extract(start, r"(?is)[\s\"'/]lang\s*+=\s*+[\"']?([A-Za-z]{2,3})(?![A-Za-z])", 1)
     return F.when(found != "", F.lower(found))
+
+
+def of_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+    """``identified`` over the main texts of pages, with their markup's language, address suffix, host and domain as evidence; one row
+    per page: id, url, and what ``identified`` gives."""
+    texts = main_texts(pages, id_col=id_col, url_col=url_col, html_col=html_col, declared=declared_language(F.col(html_col)))
+    suffix, host, domain = address_clues(F.col(url_col))
+    return identified(texts, id_col=id_col, text_col="text", declared=F.col("declared"), suffix=suffix, host=host, domain=domain, keep=url_col, **options)

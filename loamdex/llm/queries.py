@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.llm.decontaminate import leaks
-from loamdex.llm.languages import identified
+from loamdex.llm.languages import of_pages, trained
 from loamdex.llm.main_text import main_texts
 from loamdex.llm.mixture import mixture
 from loamdex.llm.near_duplicates import near_duplicates
@@ -56,7 +56,9 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identified(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"), label_col="lang")
+    """Every page, with its markup's language, address suffix, host and domain; trigrams of labelled documents."""
+    model = trained(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text", label_col="lang")
+    return of_pages(table(spark, sf_dir, "pages"), model=model)
 
 
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,19 +67,62 @@ def test_mixed_rows_keep_their_columns(spark):
     assert mx.mixed(df.limit(0)).count() == 0
 
 
-def test_tree_places_by_weight_and_moves_only_into_the_new_shard(spark):
-    ids = spark.range(0, 20_000)
-    place = lambda tree: {r.id: (r.p.region, r.p.rack, r.p.shard) for r in ids.select("id", sh.place(F.col("id"), tree).alias("p")).collect()}
+def _places(spark, n, *trees):
+    ids = spark.range(0, n)
+    return [{r.id: (r.p.region, r.p.rack, r.p.shard) for r in ids.select("id", sh.place(F.col("id"), t).alias("p")).collect()} for t in trees]
+
+
+def test_tree_places_by_weight_and_grows_only_into_the_new_shard(spark):
     for n in (5, 12, 40):
-        a, b = place(sh.tree(n)), place(sh.tree(n + 1))
+        a, b = _places(spark, 20_000, sh.tree(n), sh.grown(sh.tree(n)))
         moved = [i for i in a if a[i][2] != b[i][2]]
         assert all(b[i][2] == n for i in moved) and abs(len(moved) / 20_000 - 1 / (n + 1)) < 0.02
         assert all(s // 8 == r and (s % 8) // 4 == k for r, k, s in a.values())
-    weights = [1.0] * 10
-    a, b = place(sh.tree(10, weights=weights)), place(sh.tree(10, weights=[*weights[:3], 4.0, *weights[4:]]))
-    assert all(b[i][2] == 3 for i in a if a[i] != b[i])
+        assert max(abs(c / 20_000 - 1 / n) for c in Counter(x[2] for x in a.values()).values()) < 0.02
+    assert sh.grown(sh.tree(40)) == sh.tree(41)
+
+
+def test_changed_weights_move_rows_only_in_their_subtrees(spark):
+    """Weight of shard 3 (region 0, rack 0) grows: what moves between regions enters region 0, between racks rack 0 of it."""
+    weights = [1.0] * 20
+    a, b = _places(spark, 20_000, sh.tree(20, weights=weights), sh.tree(20, weights=[*weights[:3], 4.0, *weights[4:]]))
+    for i in a:
+        if a[i][0] != b[i][0]:
+            assert b[i][0] == 0
+        elif a[i][1] != b[i][1]:
+            assert b[i][:2] == (0, 0)
+        elif a[i][2] != b[i][2]:
+            assert b[i][2] == 3
     share = Counter(x[2] for x in b.values())
-    assert abs(share[3] / 20_000 - 4 / 13) < 0.02
+    assert abs(share[3] / 20_000 - 4 / 23) < 0.02
+    (none,) = _places(spark, 2000, sh.tree(9, weights=[0, 0, 0, 0, 1, 1, 1, 1, 0]))
+    assert {x[2] for x in none.values()} == {4, 5, 6, 7}
+
+
+def test_descent_is_that_of_a_plain_tree(spark):
+    """Level by level in Python, over Spark's hashes of the drawn names alone."""
+    import math
+
+    nodes, n = sh.tree(11, weights=[1, 2, 1, 3, 1, 1, 0, 2, 5, 1, 1]), 300
+    names = {0: range(2), 1: [r * 65536 + k for r, region in enumerate(nodes) for k in range(len(region))], 2: range(11)}
+    pairs = spark.createDataFrame([(level, name) for level in names for name in names[level]], "level int, name int").crossJoin(spark.range(n))
+    drawn = {(r.level, r.name, r.id): ((r.h >> 11) % 2**53 + 0.5) * 2.0**-53 for r in pairs.select("*", F.xxhash64(F.col("level") + sh.SEED, "id", "name").alias("h")).collect()}
+    (got,) = _places(spark, n, nodes)
+
+    def earliest(level, children, i):
+        return min((-math.log(drawn[level, name, i]) / w, name) for name, w in children if w > 0)[1]
+
+    for i in range(n):
+        r = earliest(0, [(r, sum(w for rack in region for _, w in rack)) for r, region in enumerate(nodes)], i)
+        k = earliest(1, [(r * 65536 + k, sum(w for _, w in rack)) for k, rack in enumerate(nodes[r])], i) % 65536
+        assert got[i] == (r, k, earliest(2, nodes[r][k], i))
+
+
+def test_many_copies_of_one_row_are_dealt_out_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sh, "COPIES", 100)
+    df = spark.createDataFrame([(1, "a")] * 1234 + [(None, "b"), (2, None)], "doc_id long, text string")
+    got = sh.sharded(df, shards=1).collect()
+    assert sorted(r.slot for r in got) == list(range(1236)) and Counter(r.doc_id for r in got) == {1: 1234, None: 1, 2: 1}
 
 
 def test_slots_have_no_gaps(spark):

@@ -21,6 +21,13 @@ PAGES = [
     ("a < b and c > d, which is text", "a < b and c > d, which is text"),
     ("<p>seen by all of us<!-- unclosed", "seen by all of us"),
     ("<script>alert(1)", ""),
+    # words of names weigh, and don't decide, inside an article
+    ('<article><p>One two three.</p><div class="legal-analysis"><p>The court held that the law applies.</p></div><section class="form-and-function"><p>Design follows use.</p></section></article>', "One two three. The court held that the law applies. Design follows use."),
+    ("<article><p>We see <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p><noscript><p>This is shown without scripts.</p></noscript></article>", "We see x=2 here. This is shown without scripts."),
+    ('<article><p>Some prose <span class="advert">Buy <b>now</b></span> goes on<button>Like</button>.</p><div class="ad">Buy this.</div><ul class="share-buttons"><li>Send</li></ul></article>', "Some prose goes on."),
+    ('<article><p>Some prose <span hidden>x<div>y</div> z</span> ends here.</article>', "Some prose y z ends here."),  # the div ends the paragraph and all in it
+    ("<article><p>One <svg/>two <svg>no</svg><object>three.</p>", "One two three."),
+    ('<article title="a > b"><p>All of this.</p></article data-x="1"><a ', "All of this."),
     ("", ""),
     (None, ""),
     ("  \n ", ""),
@@ -61,6 +68,24 @@ def test_cut_is_minimal():
         assert cost(mt.minimum_cut(odds, edges), odds, edges) == pytest.approx(best)
 
 
+HOSTILE = ["<a ", "<a x='", '<a x=">', "<p>some words.", "<p>some words.</p><nav>x y</nav>", "<div>", "<b>", "<svg>", "<!--", "<script>", "<", "= ", "<ul><li>x", "<p><span class=ad>", "</i>", "<table><td>x"]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_hostile_pages_take_no_longer(part):
+    """Twice the page may take little more than twice the time."""
+    import time
+
+    def took(n):
+        page = "<a " * (part == "= ") + part * (n // len(part)) + "</i>" * (part == "<b>") * (n // 8)
+        start = time.process_time()
+        mt.main_text(page)
+        return time.process_time() - start
+
+    took(10_000)
+    assert took(1_000_000) < 3 and took(400_000) < 3 * took(200_000) + 0.3
+
+
 def test_large_page_is_read_whole():
     page = "<article>" + "<p>word one two.</p>" * 20_000 + "</article><nav>" + "<a href=x>menu</a>" * 2000 + "</nav>"
     assert mt.main_text(page) == " ".join(["word one two."] * 20_000)
@@ -102,6 +127,71 @@ def test_other_evidence_decides_where_the_text_is_thin(spark):
     assert lg.identified(df.limit(0), declared=F.col("declared"), model=model).count() == 0
 
 
+def test_posterior_is_the_plain_one(spark):
+    """Counts and the fusion formula in plain Python, on pages with hosts, domains, suffixes and declarations."""
+    import math
+
+    rng = random.Random(7)
+    rows = [(i, t, rng.choice([lang, lang, "en", None]), rng.choice([f"https://{lang}{i % 2}.site.example.{lang}/x", f"http://other.example.org/{i}", "no address"]), lang) for i, t, lang, _ in labelled(spark, 120, seed=5)]
+    rows += [(500, None, "en", "http://other.example.org/", None), (501, "12 34", "de", None, None), (0, rows[0][1], rows[0][2], rows[0][3], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, declared string, url string, label string")
+    model = lg.trained(df, id_col="doc_id", text_col="text", label_col="label")
+    suffix, host, domain = lg.address_clues(F.col("url"))
+    given = {(r.doc_id, r.url): (r.s, r.h, r.d) for r in df.select("*", suffix.alias("s"), host.alias("h"), domain.alias("d")).collect()}
+    got = sorted((r.doc_id, r.text_md5 or "", r.language, r.by_text, r.confidence) for r in lg.identified(df, declared=F.col("declared"), suffix=suffix, host=host, domain=domain, model=model).collect())
+    names = [*lg.LANGUAGES, lg.OTHER]
+    k, plain = len(names), []
+    for i, text, declared, url, _ in rows:
+        data = [c if c >= 128 else c | 32 if chr(c).isalpha() else 32 for c in (text or "").encode()]
+        data = [32, *data, 32]
+        grams = [(a << 16 | b << 8 | c) for a, b, c in zip(data, data[1:], data[2:]) if b != 32 or (a != 32 and c != 32)]
+        places = [(g * 0x9E3779B1 % 2**32) >> (32 - lg.BITS) for g in grams]
+        like = [round(sum(float(model[p, c]) for p in places) * lg.TEMPER, 6) for c in range(k)]
+        plain.append((i, text, declared, *given[i, url], like, max(range(k), key=lambda c: (like[c], -c)) if places else None))
+    every = [sum(r[-1] == c for r in plain) for c in range(k)]
+    overall = [(n + 1) / (sum(every[:-1]) + k - 1) * (1 - lg.STRANGE) for n in every[:-1]] + [lg.STRANGE]
+    want = []
+    for row in plain:
+        i, text, declared, suf, hst, dom, like, first = row
+        own = [float(first == c) for c in range(k)]
+        counts = lambda place, value: [sum(r[place] == value and r[-1] == c for r in plain) - own[c] for c in range(k)]
+        prior = overall
+        for place, value in ((5, dom), (4, hst)):
+            if value is not None:
+                n = counts(place, value)[:-1]
+                prior = [(x + lg.KAPPA * p) / (sum(n) + lg.KAPPA) * (1 - lg.STRANGE) for x, p in zip(n, prior)] + [lg.STRANGE]
+        joint = [math.log(p) + x for p, x in zip(prior, like)]
+        for place, value in ((2, declared), (3, suf)):
+            if value is not None:
+                n = counts(place, value)
+                share = sum(n) / max(1, sum(every))
+                joint = [j + math.log((x + lg.KAPPA * share + 1e-3) / (a - o + lg.KAPPA)) for j, x, a, o in zip(joint[:-1], n, every, own)] + [joint[-1] + math.log(share + 1e-3 / lg.KAPPA)]
+        top = max(joint)
+        won = joint.index(top)
+        want.append((i, names[won] if first is not None and won < k - 1 else None, names[first] if first is not None else None, 1 / sum(math.exp(j - top) for j in joint)))
+    want.sort(key=lambda x: (x[0], x[3]))
+    mine = sorted(((i, lang, by, c) for i, _, lang, by, c in got), key=lambda x: (x[0], x[3]))
+    assert [x[:3] for x in mine] == [x[:3] for x in want] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(mine, want))
+
+
+def test_pages_bring_their_own_evidence(spark, small):
+    docs, pages = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/pages.parquet")
+    model = lg.trained(docs, id_col="doc_id", text_col="text", label_col="lang")
+    got = lg.of_pages(pages, model=model).collect()
+    declared = {r.page_id: r.d for r in pages.select("page_id", lg.declared_language(F.col("html")).alias("d")).collect()}
+    # what the text alone says is held against the markup, which is no part of it
+    assert len(got) == len(declared) and sum(r.by_text == declared[r.page_id] for r in got) >= 0.95 * len(got)
+    assert all(r.url for r in got) and lg.of_pages(pages.limit(0), model=model).count() == 0
+    late = "<!--" + "x" * 5000 + "--><html " + "data-a='b' " * 500 + "LANG=es-MX><p>x"
+    assert spark.createDataFrame([(late,)], "h string").select(lg.declared_language(F.col("h"))).first()[0] == "es"
+
+
+def test_a_hot_repeated_id_stays_one_sample(spark):
+    rows = [(1, "the same text over and over", "en")] * 3000 + [(1, f"text number {i} of the same id", "en") for i in range(300)] + [(i, f"ein text {i}", "de") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert lg.trained(df, id_col="doc_id", text_col="text", label_col="lang", sample=50).shape == (2**lg.BITS, 5)
+
+
 def test_address_clues(spark):
     row = spark.createDataFrame([("http://u@www.A.example.DE:80/x?y",)], "u string").select(*lg.address_clues(F.col("u")), lg.declared_language(F.lit("<!doctype html><HTML class=x lang='fr-CA'>"))).first()
     assert tuple(row) == ("de", "www.a.example.de", "a.example.de", "fr")
