@@ -13,11 +13,15 @@ clean text fall under it.
 At a similarity of 0.8 two fingerprints differ in 9.7 bits on average, with a standard error of 2.9; RADIUS is 3.2 of
 these above that.
 
-Items are broadcast in blocks of at most ITEM_BYTES of text; each further block is another pass over the documents.
+Equal items are one item; the result names each.  The documents are read once: a bit table of all items' shingles (at
+most 2**FILTER_BITS bits, whatever the size of the benchmark) tells which documents hold as many of them as the
+shortest item needs, and only these are written and compared.  Items are then dealt in blocks of at most ITEM_BYTES of
+text (a longer item is a block of its own); each block is broadcast, compared with the written documents and freed
+before the next.
 
 Nulls and odd cases: a null or word-free text or item matches nothing.  An item with fewer words than a shingle is one
 shingle of all its words.  A row or item without id takes part; its id in the result is null.  Repeated items and rows
-give a row each.  Empty tables give an empty result.
+give a row each.  Empty tables give an empty result.  Texts that are leaks all through take about 40 bytes a word.
 """
 
 from __future__ import annotations
@@ -33,10 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamdex.llm.words import mix, shingle_numbers, slices, word_numbers
+from loamdex.llm.work import removed, shared_dir, written
 
 RADIUS, BLOCKS = 19, 4
 ITEM_BYTES = 8 << 20
-SCHEMA = "doc long, item long, similarity double, start_word long, n_words int, start_byte long, passage string"
+#: Bits of the table of shingles: 32 for each shingle of the items, but no more than 2**FILTER_BITS.
+FILTER_BITS = 27
+SCHEMA = "doc long, item string, similarity double, start_word long, n_words int, start_byte long, passage string, text_md5 string"
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _BITS = 64 // BLOCKS
@@ -46,13 +53,14 @@ _COUNT = np.array([bin(x).count("1") for x in range(2**16)], np.uint8)
 _PRESENT = 22  # bits of the address in the table of block values that occur
 
 
-def _signs(shingles: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each of a shingle's 64 bits."""
-    return np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
-
-
-def _fingerprints(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
+def _window_fingerprints(shingles: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
+    """Fingerprints of the windows of w shingles at some places, bit by bit."""
+    out = np.zeros(len(starts), np.uint64)
+    sums = np.zeros(len(shingles) + 1, np.int32)
+    for bit in range(64):
+        np.cumsum((shingles >> np.uint64(bit) & np.uint64(1)).astype(np.int32), out=sums[1:])
+        out |= (2 * (sums[starts + w] - sums[starts]) > w).astype(np.uint64) << np.uint64(bit)
+    return out
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -81,7 +89,7 @@ class Items:
             self.ids.append(ids[r])
             self.shingles.append(own)
             sizes.append(length[r])
-            prints.append(_fingerprints(_signs(own).sum(0, keepdims=True))[0])
+            prints.append(_window_fingerprints(own, np.zeros(1, np.int64), len(own))[0])
         self.sizes, self.prints = np.array(sizes, np.int64), np.array(prints, np.uint64)
         self.ks = sorted({min(k, int(n)) for n in self.sizes})
         # which shingles occur in items of which length
@@ -143,8 +151,7 @@ class Items:
             marks = np.cumsum(marks)
             start = np.flatnonzero(marks[w:] - marks[:-w] >= least * (size - k + 1) - 1e-9)
             for run in np.split(start, np.flatnonzero(np.diff(start) > w) + 1) if len(start) else []:
-                sums = np.cumsum(np.vstack([np.zeros((1, 64), np.int32), _signs(own[run[0] : run[-1] + w])]), axis=0)
-                prints = _fingerprints(sums[run - run[0] + w] - sums[run - run[0]])
+                prints = _window_fingerprints(own[run[0] : run[-1] + w], run - run[0], w)
                 for p, item in self.near(size, prints):
                     s = similarity(own[run[p] : run[p] + w], self.shingles[item])
                     if s >= least - 1e-12 and (item not in best or s > best[item][0]):
@@ -158,7 +165,7 @@ def _search(items, least: float):
         for whole in batches:
             for batch in slices(whole, 1):
                 numbers, begins, starts, offsets = word_numbers(batch.column(1))
-                ids = batch.column(0).to_pylist()
+                ids, md5 = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 out = []
                 for k in index.ks:
                     shingles, at = shingle_numbers(numbers, begins, k)
@@ -172,26 +179,139 @@ def _search(items, least: float):
                             w = begins[r] + first
                             data = batch.column(1)[r].as_py().encode()
                             lo, last = int(starts[w] - offsets[r]), int(starts[w + n - 1] - offsets[r])
-                            out.append((ids[r], index.ids[item], s, first, n, lo, data[lo : _WORD.match(data, last).end()].decode()))
+                            out.append((ids[r], index.ids[item], s, first, n, lo, data[lo : _WORD.match(data, last).end()].decode(), md5[r]))
                 if out:
-                    kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+                    kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return run
 
 
+def _marked(k: int, bits: int):
+    """Items' texts -> (part, bits): a task's shingles in the parts of the bit table."""
+    part = min(bits, 1 << 20) // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(bits // 8, np.uint8)
+        for whole in batches:
+            for batch in slices(whole, 0):
+                for own in _item_shingles(batch.column(0), k):
+                    at = own & np.uint64(bits - 1)
+                    np.bitwise_or.at(table, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        for p in range(len(table) // part):
+            own = table[p * part : (p + 1) * part]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["part", "bits"])
+
+    return run
+
+
+def _joined(rows: pa.Table) -> pa.Table:
+    """One part of the bit table from all tasks."""
+    total = np.bitwise_or.reduce([np.frombuffer(x.as_py(), np.uint8) for x in rows.column("bits")])
+    return pa.table({"part": rows.column("part")[:1], "bits": pa.array([total.tobytes()], pa.binary())})
+
+
+def _item_shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """Each text's shingles; a text with fewer words is one."""
+    numbers, begins, _, _ = word_numbers(column)
+    for r in range(len(column)):
+        own = numbers[begins[r] : begins[r + 1]]
+        if len(own):
+            yield shingle_numbers(own, np.array([0, len(own)]), min(k, len(own)))[0]
+
+
+def _measured(k: int):
+    """Items' texts -> a task's count of shingles, sizes of shingles that occur, and the fewest shingles of an item by that size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[int, int]] = {}
+        for whole in batches:
+            for batch in slices(whole, 0):
+                _, begins, _, _ = word_numbers(batch.column(0))
+                for n in np.diff(begins).tolist():
+                    if n:
+                        size, many = min(k, n), n - min(k, n) + 1
+                        least, total = found.get(size, (many, 0))
+                        found[size] = (min(least, many), total + many)
+        if found:
+            yield pa.RecordBatch.from_pydict({"size": pa.array(list(found), pa.int32()), "least": pa.array([a for a, _ in found.values()], pa.int64()), "total": pa.array([b for _, b in found.values()], pa.int64())})
+
+    return run
+
+
+def _suspects(table, bits: int, needed: dict[int, int]):
+    """(doc, text, text_md5) -> the rows that hold at least as many marked shingles as some item needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks: np.ndarray = table.value
+        for whole in batches:
+            for batch in slices(whole, 1):
+                numbers, begins, _, _ = word_numbers(batch.column(1))
+                keep = np.zeros(batch.num_rows, bool)
+                for k, least in needed.items():
+                    shingles, at = shingle_numbers(numbers, begins, k)
+                    place = shingles & np.uint64(bits - 1)
+                    hit = marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)
+                    counts = np.diff(np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])[at])
+                    keep |= (counts >= least) & (np.diff(begins) >= k)
+                if keep.any():
+                    yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document and item whose best window reaches the similarity: ids, similarity, the window's first word, words and first byte
-    in the text, and the passage itself."""
+    in the text, the passage itself, and the text's md5."""
     spark = docs.sparkSession
-    items = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / ITEM_BYTES))
+    place = shared_dir(spark)
+    named = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
+    named = named.select("id", "text", F.md5("text").alias("name"))
+    once = written(named.groupBy("name").agg(F.first("text").alias("text")), "items", place)
+    sizes = once.select("text").mapInArrow(_measured(words), "size int, least long, total long").groupBy("size").agg(F.min("least").alias("least"), F.sum("total").alias("total")).collect()
+    # so many of an item's shingles stand in any window, or shorter document, that reaches the similarity
+    needed = {r["size"]: max(1, math.ceil(percent * r["least"] / 100 - 1e-9)) for r in sizes}
+    bits = 1 << min(FILTER_BITS, max(16, (32 * sum(r["total"] for r in sizes)).bit_length()))
+    table = np.zeros(bits // 8, np.uint8)
+    width = min(bits, 1 << 20) // 8
+    for r in once.select("text").mapInArrow(_marked(words, bits), "part int, bits binary").groupBy("part").applyInArrow(_joined, "part int, bits binary").collect():
+        table[r.part * width : (r.part + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    sent = spark.sparkContext.broadcast(table)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.md5(text).alias("text_md5"))
+    rows = written(rows.mapInArrow(_suspects(sent, bits, needed), rows.schema), "suspects", place)
+    sent.destroy()
+    # blocks of items, by running sums of their bytes inside ranges of their names
+    size = F.octet_length("text")
+    total = once.agg(F.sum(size)).first()[0] or 0
+    parts = max(1, math.ceil(total / ITEM_BYTES))
     found = None
-    for b in range(blocks):
-        # a block is bounded by the division; one that is far above it (by chance or a giant item) still is one broadcast
-        rows = items.where(F.pmod(F.xxhash64("text", "id"), F.lit(blocks)) == b).sort("id", "text").collect()
-        index = spark.sparkContext.broadcast(Items([r.id for r in rows], [r.text for r in rows], words))
-        part = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_search(index, percent / 100), SCHEMA)
-        found = part if found is None else found.union(part)
-    return found.withColumnsRenamed({"doc": id_col, "item": item_col})
+    for b in range(parts):
+        own = once.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == b)
+        for lot in _lots(own):
+            index = spark.sparkContext.broadcast(Items([r.name for r in lot], [r.text for r in lot], words))
+            part = written(rows.mapInArrow(_search(index, percent / 100), SCHEMA), "found", place)
+            index.destroy()
+            found = part if found is None else found.union(part)
+    if found is None:
+        found = spark.createDataFrame([], SCHEMA)
+    out = found.join(named.select(F.col("name").alias("item"), F.col("id").alias("item_id")), "item")
+    out = out.select(F.col("doc").alias(id_col), F.col("item_id").alias(item_col), "similarity", "start_word", "n_words", "start_byte", "passage", "text_md5")
+    result = written(out, "leaks")
+    removed(spark, place)
+    return result
+
+
+def _lots(items: DataFrame) -> Iterator[list]:
+    """Items in lists of at most ITEM_BYTES of text, or one longer item; the driver holds one list at a time."""
+    lot, have = [], 0
+    for r in items.sort("name").toLocalIterator():
+        n = len(r.text.encode())
+        if lot and have + n > ITEM_BYTES:
+            yield lot
+            lot, have = [], 0
+        lot.append(r)
+        have += n
+    if lot:
+        yield lot

@@ -44,6 +44,28 @@ def test_empty_tables_and_repeats(spark):
     assert dc.leaks(docs, docs.withColumnRenamed("doc_id", "item_id")).count() == 4
 
 
+def test_many_blocks_repeated_items_and_texts_that_are_leaks_all_through(spark, monkeypatch):
+    monkeypatch.setattr(dc, "ITEM_BYTES", 300)
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    items = {i: say(rng.randint(12, 40)) for i in range(25)} | {100: say(400)}
+    items |= {200 + i: items[i] for i in range(3)}
+    texts = {d: say(rng.randint(5, 30)) + " " + items[rng.randrange(25)] + " " + say(9) for d in range(40)} | {90: " ".join([items[0]] * 30), 91: items[100], 92: items[100] + " tail", 93: say(50)}
+    got = run(spark, texts, items)
+    assert {k: round(r.similarity, 9) for k, r in got.items()} == {k: round(s, 9) for k, s in all_windows(texts, items).items()}
+
+
+def test_window_fingerprints_are_the_signs_of_sums():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    own = rng.integers(0, 2**63, 60, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 60, dtype=np.uint64)
+    starts = np.array([0, 3, 40])
+    for s, got in zip(starts.tolist(), dc._window_fingerprints(own, starts, 20).tolist(), strict=True):
+        window = own[s : s + 20].tolist()
+        assert got == sum(1 << b for b in range(64) if sum(1 if x >> b & 1 else -1 for x in window) > 0)
+
+
 def test_the_index_finds_all_within_the_radius():
     import numpy as np
 
