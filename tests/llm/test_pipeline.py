@@ -37,6 +37,21 @@ def test_stages_keep_the_columns_and_take_effect(stages, small, spark):
     assert stages["shards"].count() == stages["mixture"].count()
 
 
+def test_an_id_with_two_texts_loses_none(spark, small):
+    """Every order of rows gives the same rows; of an id's two texts the one that is a leak goes and the other stays."""
+    leak = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    prose = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").where("lang = 'en' and length(text) between 800 and 3000").orderBy("doc_id").limit(3).collect()]
+    rows = [(1, leak, "en", "a", 1), (1, prose[0], "en", "a", 1), (1, prose[0], "en", "b", 1), (None, prose[1], "en", "a", 1), (None, prose[1], "en", "a", 1), (2, prose[0] + " end", "en", "a", 1), (None, leak, "en", "a", 2), (3, "12 34 !!", "en", "a", 3), (3, prose[2], "en", "a", 3)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string, source string, n_chars long")
+        # the last rows would all be of one language; a model needs the others, too
+        docs = docs.unionByName(spark.read.parquet(f"{small}/documents.parquet").where("doc_id >= 20").select(docs.columns))
+        for name, stage in cp.STAGES[:3]:
+            docs = stage(spark, docs, small)
+        got = sorted(((r.doc_id or 0, r.text, r.source) for r in docs.where("doc_id is null or doc_id < 20").collect()))
+        assert got == sorted([(1, prose[0], "a"), (0, prose[1], "a"), (3, prose[2], "a")])
+
+
 def test_run_gives_the_same_rows(stages, spark, small):
     assert sorted(map(tuple, cp.run(spark, small).collect())) == sorted(map(tuple, stages["shards"].collect()))
 
