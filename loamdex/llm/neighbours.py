@@ -1,18 +1,20 @@
 """Approximate nearest neighbours by inner product on robust-pruned directed graphs.
 
-Vectors are dealt into shards of about SHARD rows by a hash.  Within a shard the largest inner product becomes the
-smallest distance by one more coordinate, sqrt(m*m - |x|**2) with m the largest norm.  The graph is built in batches:
-greedy searches on the graph so far propose neighbours; pruning keeps a neighbour only if no kept one is closer to it
-by the factor 1/ALPHA, so edges stay diverse; reverse edges are added, and lists that grow too long are pruned again.  A
-second pass over all nodes mends what early nodes could not see.  Beam search answers a block of queries on each
-shard; the best of all shards, scored in double precision on the original vectors, are the result.
+Vectors are dealt into shards by a hash: SHARD rows each, more where that makes over WAYS shards, up to MOST rows or
+MOST_BYTES, so queries meet few shards.  Within a shard the largest inner product becomes the smallest distance by one
+more coordinate, sqrt(m*m - |x|**2) with m the largest norm.  The graph is built in batches: greedy searches on the
+graph so far propose neighbours; pruning keeps a neighbour only if no kept one is closer to it by the factor 1/ALPHA, so
+edges stay diverse; reverse edges are added, and lists that grow too long are pruned again.  A second pass over all
+nodes mends what early nodes could not see.  Beam search answers a block of queries on each shard; graphs and searches
+take single precision, but scores are inner products of the original vectors in double precision.
 
 Equal vectors are one node that keeps its smallest k + 1 ids, which is all that a result can hold, so a vector that a
 third of all rows share neither crowds out a graph nor a task.
 
 Nulls and odd cases: rows without id, and vectors that are null, empty, zero or hold null or non-finite components take
-no part.  Repeated rows count once.  Vectors meet only those of their own length.  Ties go to the smaller id.  An empty
-table gives an empty table.
+no part.  Repeated rows count once.  An id that stands on rows with different vectors counts once for a query, with the
+best of its vectors found, and asks with all of them.  A product that overflows to no number counts as the smallest.
+Vectors meet only those of their own length.  Ties go to the smaller id.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,9 +27,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.llm.work import written
+from loamdex.llm.work import removed, shared_dir, written
 
 SHARD, QUERIES = 8192, 2048
+WAYS, MOST, MOST_BYTES = 64, 1 << 17, 256 << 20
 #: Out-degree after pruning and before it, beam of builds and of searches, slack of pruning.
 DEGREE, ROOM, BUILD_BEAM, BEAM, ALPHA = 32, 48, 64, 96, 1.2
 BATCH = 512
@@ -157,9 +160,8 @@ def lifted(vectors: np.ndarray) -> np.ndarray:
 
 
 def _make(rows: pa.Table) -> pa.Table:
-    order = np.array(pc.sort_indices(rows.column("gid")))
-    rows = rows.take(pa.array(order))
-    vectors = np.array(rows.column("embedding").to_pylist(), np.float32)
+    rows = rows.take(pc.sort_indices(rows.select(["gid", "vid"]), sort_keys=[("gid", "ascending"), ("vid", "ascending")]))
+    vectors = np.array(rows.column("embedding").to_pylist(), np.float64)
     # a common scale keeps squares finite; the searched order doesn't change
     graph, start = build(vectors / max(1e-30, float(np.abs(vectors).max())))
     one = lambda v, t: pa.array([v], t)
@@ -168,7 +170,7 @@ def _make(rows: pa.Table) -> pa.Table:
             "dim": rows.column("dim")[:1],
             "part": rows.column("part")[:1],
             "ids": one(rows.column("ids").to_pylist(), pa.list_(pa.list_(pa.int64()))),
-            "vectors": one(vectors.astype("<f4").tobytes(), pa.binary()),
+            "vectors": one(vectors.astype("<f8").tobytes(), pa.binary()),
             "graph": one(graph.astype("<i4").tobytes(), pa.binary()),
             "start": one(start, pa.int32()),
         }
@@ -178,33 +180,38 @@ def _make(rows: pa.Table) -> pa.Table:
 def _search(k: int):
     def run(rows: pa.Table) -> pa.Table:
         dim = rows.column("dim")[0].as_py()
-        vectors = np.frombuffer(rows.column("vectors")[0].as_py(), "<f4").reshape(-1, dim)
+        vectors = np.frombuffer(rows.column("vectors")[0].as_py(), "<f8").reshape(-1, dim)
         graph = np.frombuffer(rows.column("graph")[0].as_py(), "<i4").reshape(len(vectors), -1).astype(np.int64)
         ids, start = rows.column("ids")[0].as_py(), rows.column("start")[0].as_py()
         block = rows.column("queries")[0].as_py()
-        gid, wanted = [q["gid"] for q in block], np.array([q["embedding"] for q in block], np.float32)
+        gid, wanted = [(q["gid"], q["vid"]) for q in block], np.array([q["embedding"] for q in block], np.float64)
         scale = max(1e-30, float(np.abs(vectors).max()))
         points, out = lifted(vectors / scale), []
         longest = np.maximum(np.abs(wanted).max(1, keepdims=True), 1e-30)
-        flat = np.concatenate([wanted / longest, np.zeros((len(wanted), 1), np.float32)], 1)
+        flat = np.concatenate([wanted / longest, np.zeros((len(wanted), 1))], 1).astype(np.float32)
         for lo in range(0, len(gid), 1024):
             near, _ = _beam(points, graph, start, flat[lo : lo + 1024], max(BEAM, k + 1))
             near = near[:, : max(BEAM, k + 1)]
             for g, w, found in zip(gid[lo : lo + 1024], wanted[lo : lo + 1024], near, strict=True):
                 found = found[found >= 0]
-                score = (vectors[found].astype(np.float64) * w.astype(np.float64)).sum(1)
-                firsts = np.array([ids[f][0] for f in found])
-                for i in np.lexsort((firsts, -score))[: k + 1]:
-                    out.append((g, ids[found[i]], score[i]))
-        kinds = (pa.int64(), pa.list_(pa.int64()), pa.float64())
-        return pa.table({c: pa.array(v, t) for c, v, t in zip(("gid", "ids", "score"), zip(*out, strict=True) if out else ((), (), ()), kinds, strict=True)})
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = (vectors[found] * w).sum(1)
+                score[np.isnan(score)] = -np.inf
+                firsts, different = np.array([ids[f][0] for f in found]), set()
+                for i in np.lexsort((firsts, -score)):
+                    out.append((*g, ids[found[i]], score[i]))
+                    different.update(ids[found[i]])
+                    if len(different) > k:  # ids may stand on several vectors
+                        break
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64())
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(("gid", "vid", "ids", "score"), zip(*out, strict=True) if out else ((), (), (), ()), kinds, strict=True)})
 
     return run
 
 
 def groups(rows: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """(gid, embedding, ids, dim): each different vector that takes part, its smallest id and its k + 1 smallest ids."""
-    vector = F.col(vector_col).cast("array<float>")
+    vector = F.col(vector_col).cast("array<double>")
     good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     clean = rows.select(F.col(id_col).cast("long").alias("id"), vector.alias("embedding")).where(F.col("id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(good, F.lit(False))).distinct()
     salted = clean.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(61)))
@@ -215,28 +222,36 @@ def groups(rows: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
 
 def graphs(known: DataFrame, shards: int) -> DataFrame:
     """The index: one row a shard, each with its vectors, ids and graph."""
-    dealt = known.withColumn("part", F.pmod(F.xxhash64("gid"), F.lit(shards)).cast("int"))
+    dealt = known.withColumn("vid", F.xxhash64("embedding")).withColumn("part", F.pmod(F.xxhash64("gid", "vid"), F.lit(shards)).cast("int"))
     return dealt.groupBy("dim", "part").applyInArrow(_make, _INDEX)
 
 
 def nearest(rows: DataFrame, *, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), the neighbour's id and score: the k nearest found of each row that ``is_query`` (a condition on
     the id column) holds for, among all other rows."""
-    known = written(groups(rows, id_col, vector_col, k), "vectors")
-    shards = max(1, math.ceil(known.count() / SHARD))
-    index = written(graphs(known, shards), "graphs")
-    vector = F.col(vector_col).cast("array<float>")
+    spark = rows.sparkSession
+    place = shared_dir(spark)
+    known = written(groups(rows, id_col, vector_col, k), "vectors", place)
+    n, dim = known.agg(F.count("*"), F.max("dim")).first()
+    size = max(1, min(max(SHARD, math.ceil(n / WAYS)), MOST, MOST_BYTES // (8 * (dim or 1))))
+    shards = max(1, math.ceil(n / size))
+    index = written(graphs(known, shards), "graphs", place)
+    vector = F.col(vector_col).cast("array<double>")
     asked = rows.where(is_query).select(F.col(id_col).cast("long").alias("query_id"), vector.alias("embedding")).where("query_id is not null").distinct()
-    asked = written(asked.join(known.select("gid", "embedding", "dim"), "embedding").select("query_id", "gid", "dim", "embedding"), "queries")
-    unique = asked.groupBy("gid", "dim").agg(F.first("embedding").alias("embedding"))
+    asked = written(asked.join(known.select("gid", "embedding", "dim"), "embedding").select("query_id", "gid", "dim", "embedding"), "queries", place)
+    # a vector is known by its smallest id and itself: one id may stand on several
+    unique = asked.withColumn("vid", F.xxhash64("embedding")).groupBy("gid", "vid", "dim", "embedding").agg(F.count("*")).drop("count(1)")
     blocks = max(1, math.ceil(asked.select("gid").distinct().count() / QUERIES))
-    packed = unique.groupBy("dim", F.pmod(F.xxhash64("gid", F.lit(1)), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("gid", "embedding")).alias("queries"))
+    packed = unique.groupBy("dim", F.pmod(F.xxhash64("gid", "vid", F.lit(1)), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("gid", "vid", "embedding")).alias("queries"))
     packed = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = packed.join(index, ["dim", "part"]).groupBy("dim", "part", "block").applyInArrow(_search(k), "gid long, ids array<long>, score double")
-    found = found.select("gid", "score", F.explode("ids").alias("id"))
-    best = Window.partitionBy("gid").orderBy(F.desc("score"), "id")
+    found = packed.join(index, ["dim", "part"]).groupBy("dim", "part", "block").applyInArrow(_search(k), "gid long, vid long, ids array<long>, score double")
+    found = found.select("gid", "vid", "score", F.explode("ids").alias("id")).groupBy("gid", "vid", "id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("gid", "vid").orderBy(F.desc("score"), "id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    mine = asked.select("query_id", "gid").join(found.select("gid", "id", "score"), "gid").where("id <> query_id")
+    mine = asked.select("query_id", "gid", F.xxhash64("embedding").alias("vid")).join(found.select("gid", "vid", "id", "score"), ["gid", "vid"]).where("id <> query_id")
+    mine = mine.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     mine = mine.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return mine.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    result = written(mine.select("query_id", "rank", F.col("id").alias(id_col), "score"), "nearest")
+    removed(spark, place)
+    return result
