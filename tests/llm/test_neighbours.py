@@ -66,7 +66,7 @@ def test_double_vectors_are_scored_as_given(spark):
 
 def test_an_id_with_several_vectors_counts_once(spark):
     rng = np.random.default_rng(4)
-    rows = [(i % 60, rng.normal(size=6).tolist()) for i in range(300)] + [(20, [9.0, 0, 0, 0, 0, 0]), (21, [8.0, 0, 0, 0, 0, 0]), (21, [0, 7.0, 0, 0, 0, 0])]
+    rows = [(i % 60, rng.normal(size=6).tolist()) for i in range(300)] + [(20, [9.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (21, [8.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (21, [0.0, 7.0, 0.0, 0.0, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     want = {}
     for q in (0, 20, 40):
