@@ -34,19 +34,23 @@ WAYS, MOST, MOST_BYTES = 64, 1 << 17, 256 << 20
 #: Out-degree after pruning and before it, beam of builds and of searches, slack of pruning.
 DEGREE, ROOM, BUILD_BEAM, BEAM, ALPHA = 32, 48, 64, 96, 1.2
 BATCH = 512
+#: The longest vectors of a shard at which searches start besides its middle.
+STARTS = 31
 
-_INDEX = "dim int, part int, ids array<array<long>>, vectors binary, graph binary, start int"
+_INDEX = "dim int, part int, ids array<array<long>>, vectors binary, graph binary, starts array<int>"
 
 
-def _beam(points: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, width: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def _beam(points: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, width: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and squared distances of the ``width`` closest found to each query, closest first (missing: -1, inf)."""
     n, q = len(points), len(queries)
     norms, own = (points * points).sum(1), (queries * queries).sum(1)
     ids, dist, done = np.full((q, width), -1, np.int64), np.full((q, width), np.inf, np.float32), np.ones((q, width), bool)
     seen = np.zeros((q, n + 1), bool)
     seen[:, n] = True  # stands for no node
-    ids[:, 0], done[:, 0], seen[:, start] = start, False, True
-    dist[:, 0] = norms[start] + own - 2 * (queries @ points[start])
+    first = (own[:, None] + norms[starts] - 2 * (queries @ points[starts].T)).astype(np.float32)
+    order = np.argsort(first, axis=1, kind="stable")
+    ids[:, : len(starts)], done[:, : len(starts)], seen[:, starts] = starts[order], False, True
+    dist[:, : len(starts)] = np.take_along_axis(first, order, 1)
     active = np.arange(q)
     while len(active):
         open_ = np.where(done[active], np.inf, dist[active])
@@ -131,25 +135,28 @@ def _insert(points: np.ndarray, graph: np.ndarray, degree: np.ndarray, nodes: np
         degree[full] = (out < n).sum(1)
 
 
-def build(vectors: np.ndarray, seed: int = 1) -> tuple[np.ndarray, int]:
-    """Neighbours of each vector (padded with len(vectors)) and the node where searches start."""
+def build(vectors: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of each vector (padded with len(vectors)) and the nodes where searches start: the middle one and the longest."""
     points = lifted(vectors)
     n = len(points)
     graph, degree = np.full((n, ROOM), n, np.int64), np.zeros(n, np.int64)
     start = int(((points - points.mean(0)) ** 2).sum(1).argmin())
     order = np.random.Generator(np.random.PCG64(seed)).permutation(n)
     order = np.concatenate([[start], order[order != start]])
+    middle = np.array([start])
     at = 1
     while at < n:
         nodes = order[at : at + min(BATCH, at)]
-        near, _ = _beam(points, graph, start, points[nodes], BUILD_BEAM)
+        near, _ = _beam(points, graph, middle, points[nodes], BUILD_BEAM)
         _insert(points, graph, degree, nodes, near)
         at += len(nodes)
     for lo in range(0, n, BATCH):
         nodes = order[lo : lo + BATCH]
-        near, _ = _beam(points, graph, start, points[nodes], BUILD_BEAM)
+        near, _ = _beam(points, graph, middle, points[nodes], BUILD_BEAM)
         _insert(points, graph, degree, nodes, np.concatenate([near, np.where(graph[nodes] == n, -1, graph[nodes])], 1))
-    return graph, start
+    # the longest vectors answer many queries, and lie apart from the others once lifted
+    longest = np.argsort(points[:, -1], kind="stable")[:STARTS]
+    return graph, np.concatenate([middle, longest[longest != start]])
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
@@ -163,7 +170,7 @@ def _make(rows: pa.Table) -> pa.Table:
     rows = rows.take(pc.sort_indices(rows.select(["gid", "vid"]), sort_keys=[("gid", "ascending"), ("vid", "ascending")]))
     vectors = np.array(rows.column("embedding").to_pylist(), np.float64)
     # a common scale keeps squares finite; the searched order doesn't change
-    graph, start = build(vectors / max(1e-30, float(np.abs(vectors).max())))
+    graph, starts = build(vectors / max(1e-30, float(np.abs(vectors).max())))
     one = lambda v, t: pa.array([v], t)
     return pa.table(
         {
@@ -172,7 +179,7 @@ def _make(rows: pa.Table) -> pa.Table:
             "ids": one(rows.column("ids").to_pylist(), pa.list_(pa.list_(pa.int64()))),
             "vectors": one(vectors.astype("<f8").tobytes(), pa.binary()),
             "graph": one(graph.astype("<i4").tobytes(), pa.binary()),
-            "start": one(start, pa.int32()),
+            "starts": one(starts.tolist(), pa.list_(pa.int32())),
         }
     )
 
@@ -182,7 +189,7 @@ def _search(k: int):
         dim = rows.column("dim")[0].as_py()
         vectors = np.frombuffer(rows.column("vectors")[0].as_py(), "<f8").reshape(-1, dim)
         graph = np.frombuffer(rows.column("graph")[0].as_py(), "<i4").reshape(len(vectors), -1).astype(np.int64)
-        ids, start = rows.column("ids")[0].as_py(), rows.column("start")[0].as_py()
+        ids, starts = rows.column("ids")[0].as_py(), np.array(rows.column("starts")[0].as_py(), np.int64)
         block = rows.column("queries")[0].as_py()
         gid, wanted = [(q["gid"], q["vid"]) for q in block], np.array([q["embedding"] for q in block], np.float64)
         scale = max(1e-30, float(np.abs(vectors).max()))
@@ -190,7 +197,7 @@ def _search(k: int):
         longest = np.maximum(np.abs(wanted).max(1, keepdims=True), 1e-30)
         flat = np.concatenate([wanted / longest, np.zeros((len(wanted), 1))], 1).astype(np.float32)
         for lo in range(0, len(gid), 1024):
-            near, _ = _beam(points, graph, start, flat[lo : lo + 1024], max(BEAM, k + 1))
+            near, _ = _beam(points, graph, starts, flat[lo : lo + 1024], max(BEAM, k + 1))
             near = near[:, : max(BEAM, k + 1)]
             for g, w, found in zip(gid[lo : lo + 1024], wanted[lo : lo + 1024], near, strict=True):
                 found = found[found >= 0]
