@@ -48,7 +48,8 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents"), key="documents")
+    """The key is the session's; where it sets none, one that is good for tests alone."""
+    return pseudonymised(table(spark, sf_dir, "documents"), key=spark.conf.get("spark.loamdex.pseudonyms.key", "documents"))
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts under the unigram reading of a public vocabulary.
+
+    No unigram vocabulary is installed and none may be trained, so the pieces and scores are those of a BPE model, whose scores are
+    merge ranks: counts equal the tokenizers library's unigram model over these pieces, and not the BPE tokenizer that ships them.
+    """
     pieces, _ = load_pieces(vocabulary("piece_bpe_32k.model"))
     return token_counts(table(spark, sf_dir, "documents"), pieces)
 

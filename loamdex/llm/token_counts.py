@@ -9,7 +9,8 @@ strictly greater, so of equal scores the one whose last token began first stays.
 own counts as unknown with the lowest score of the vocabulary less 10; a run of unknown characters is one token, or,
 with byte fallback, its UTF-8 bytes if the vocabulary has all of them.
 
-A piece's result is kept, so each distinct piece is worked out once while a worker remembers it (CACHE pieces).
+Texts are cut and counted a column at a time: the different pieces of a batch are looked up, what is new is segmented,
+and rows are sums over arrays.  A worker keeps the automaton and the results of CACHE pieces from task to task.
 
 Nulls and odd cases: a null or empty text has 0 tokens and score 0; pieces of any length are worked out whole, in
 memory that grows with the piece alone; repeated rows give equal rows; an empty table gives an empty table.
@@ -17,10 +18,13 @@ memory that grows with the piece alone; repeated rows give equal rows; an empty
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,24 +94,51 @@ class Counter:
         data = text.encode()
         return len(data) if self.bytes and all(b in self.bytes for b in data) else 1
 
+    def _known(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and scores of different pieces."""
+        if len(self.known) + len(pieces) > CACHE:
+            self.known.clear()
+        known, out = self.known, []
+        for piece in pieces:
+            found = known.get(piece)
+            if found is None:
+                found = known[piece] = self.count(BLANK + piece)
+            out.append(found)
+        return np.array([n for n, _ in out], np.int64), np.array([s for _, s in out], np.float64)
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and score of each text."""
+        texts = pc.fill_null(texts, "")
+        words = pc.split_pattern(pc.replace_substring(texts, BLANK, " "), " ")
+        begins, flat = words.offsets.to_numpy(), words.values
+        row = np.repeat(np.arange(len(texts)), np.diff(begins))
+        flat = flat.slice(int(begins[0]), int(begins[-1] - begins[0])).dictionary_encode()
+        sizes = pc.binary_length(flat.dictionary).to_numpy()[flat.indices.to_numpy()]
+        begins = begins - begins[0]
+        # a text that begins with a blank gets no other before it, and an empty one has no piece
+        first = np.zeros(len(row), bool)
+        first[begins[:-1][np.diff(begins) > 0]] = True
+        many = (np.diff(begins) > 1)[row] | (pc.binary_length(texts).to_numpy() == 0)[row]
+        keep = ~(first & (sizes == 0) & many)
+        n, score = self._known(flat.dictionary.to_pylist())
+        at, row = flat.indices.to_numpy()[keep], row[keep]
+        return np.bincount(row, n[at], len(texts)).astype(np.int64), np.bincount(row, score[at], len(texts))
+
     def text(self, text: str | None) -> tuple[int, float]:
         """(tokens, score) of a whole text."""
-        if not text:
-            return 0, 0.0
-        known, n, score = self.known, 0, 0.0
-        words = (text if BLANK not in text else text.replace(BLANK, " ")).split(" ")
-        if len(words) > 1 and not words[0]:  # a text that begins with a blank gets no other before it
-            del words[0]
-        for word in words:
-            try:
-                a, b = known[word]
-            except KeyError:
-                if len(known) >= CACHE:
-                    known.clear()
-                a, b = known[word] = self.count(BLANK + word)
-            n += a
-            score += b
-        return n, score
+        n, score = self.column(pa.array([text], pa.string()))
+        return int(n[0]), float(score[0])
+
+
+_counters: dict[str, Counter] = {}
+
+
+def counter_of(name: str, sent, byte_fallback: bool) -> Counter:
+    """The worker's counter, kept from task to task; that of another query goes."""
+    if name not in _counters:
+        _counters.clear()
+        _counters[name] = Counter(sent.value, byte_fallback)
+    return _counters[name]
 
 
 def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], *, id_col: str = "doc_id", text_col: str = "text", byte_fallback: bool = True) -> DataFrame:
@@ -116,14 +147,14 @@ def token_counts(docs: DataFrame, pieces: list[tuple[str, float]], *, id_col: st
     ``pieces`` is a vocabulary: tens of thousands of short strings, sent along once.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(list(pieces))
+    sent, name = spark.sparkContext.broadcast(list(pieces)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(sent.value, byte_fallback)
+        counter = counter_of(name, sent, byte_fallback)
         for whole in batches:
             for batch in slices(whole, 1):
-                done = [counter.text(t) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in done], pa.int64()), pa.array([s for _, s in done], pa.float64())], names=["id", "n_tokens", "score"])
+                n, score = counter.column(batch.column(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(score)], names=["id", "n_tokens", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, score double").withColumnRenamed("id", id_col)
