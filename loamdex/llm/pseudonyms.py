@@ -1,14 +1,16 @@
 """Format-preserving pseudonyms for personal data, in DataFrame functions alone.
 
 Found and validated: e-mail addresses, payment card numbers (Luhn), IBANs (remainder 97), IPv4 addresses, phone
-numbers (8 to 15 digits, written with a plus or grouped), social security numbers, dates of the years 1901 to 2099,
-and hexadecimal secrets.  What fails its validation stays as it is.
+numbers (8 to 15 digits, written with a plus or grouped), social security numbers, dates of the years 1900 to 2099
+(year first, day first, and month first where that can't be a day), and hexadecimal secrets.  What fails its validation
+stays as it is.
 
 A value is replaced by a keyed permutation of all values of its format, a Feistel network of ROUNDS rounds: letters
 become letters, digits digits, separators stay, check digits are made right again, dates become other real dates,
 addresses addresses.  The key, the kind and the value alone decide, so equal values get equal pseudonyms in all
 documents, and different values of one format different ones.  Country codes of phones and IBANs and the domains of
-e-mail addresses stay.
+e-mail addresses stay.  In e-mail addresses letters and digits beyond ASCII move within their RANGES (by script, and by
+case where scripts have it); those of none become ASCII letters, and there alone different values may meet.
 
 Round functions are SHA-512 or SHA-256 of key, kind, round and the other half.
 
@@ -41,8 +43,18 @@ _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without a digit and without an at sign holds nothing.
 _MAY = "[0-9@]"
 
-# 1901-01-01 to 2099-12-31: 72,684 days = 673 * 108
-_FIRST_DAY, _A, _B = "1901-01-01", 673, 108
+# 1900-01-01 to 2099-12-31: 73,049 days = 4,297 * 17
+_FIRST_DAY, _A, _B = "1900-01-01", 4297, 17
+# First and last code points of ranges that hold letters alone, or digits alone.
+RANGES = (
+    (0x00C0, 0x00D6), (0x00D8, 0x00DE), (0x00DF, 0x00F6), (0x00F8, 0x00FF), (0x0100, 0x017F), (0x0180, 0x01BA), (0x01C4, 0x024F), (0x0250, 0x0293),
+    (0x0391, 0x03A1), (0x03A3, 0x03A9), (0x03B1, 0x03C9), (0x0400, 0x040F), (0x0410, 0x042F), (0x0430, 0x044F), (0x0450, 0x045F),
+    (0x0531, 0x0556), (0x0561, 0x0587), (0x05D0, 0x05EA), (0x0620, 0x064A), (0x0660, 0x0669), (0x06F0, 0x06F9),
+    (0x0904, 0x0939), (0x0966, 0x096F), (0x0995, 0x09A8), (0x09E6, 0x09EF), (0x0E01, 0x0E30), (0x0E50, 0x0E59), (0x10D0, 0x10FA), (0x1E00, 0x1EFF),
+    (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF10, 0xFF19), (0xFF21, 0xFF3A), (0xFF41, 0xFF5A),
+)
+# month-first dates by days: 13 to 28; 29 to 31 but for 29 February; 29 February
+_LATE_DAYS = [f"{m:02}{d}" for m in range(1, 13) for d in (29, 30, 31) if m != 2 and not (d == 31 and m in (4, 6, 9, 11))]
 
 
 def _let(value: Column, body) -> Column:
@@ -54,14 +66,21 @@ def _number(hexadecimal: Column) -> Column:
     return F.conv(hexadecimal, 16, 10).cast("long")
 
 
-def _shifted(char: Column, by: Column, letters: int) -> Column:
-    """The character moved on within its class: digits, lower-case or upper-case letters; others stay."""
+def _shifted(char: Column, by: Column, letters: int, wide: bool) -> Column:
+    """The character moved on within its class: digits, lower-case or upper-case letters, and if ``wide`` those of RANGES; others stay."""
     code = F.ascii(char)
     moved = lambda low, n: F.char(F.lit(low) + (code - low + by) % n)
-    return F.when(code.between(48, 57), moved(48, 10)).when(code.between(97, 96 + letters), moved(97, letters)).when(code.between(65, 64 + letters), moved(65, letters)).otherwise(char)
+    out = F.when(code.between(48, 57), moved(48, 10)).when(code.between(97, 96 + letters), moved(97, letters)).when(code.between(65, 64 + letters), moved(65, letters))
+    if wide:
+        ranges = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b - a + 1).alias("size")) for a, b in RANGES])
+        own = F.filter(ranges, lambda r: (code >= r["first"]) & (code < r["first"] + r["size"]))
+        point = lambda c: F.decode(F.unhex(F.lpad(F.hex(c.cast("long")), 8, "0")), "UTF-32")
+        inside = F.element_at(F.transform(own, lambda r: point(r["first"] + (code - r["first"] + by) % r["size"])), 1)
+        out = out.when(code < 128, char).when(F.size(own) > 0, inside).when(char.rlike(r"[\p{L}\p{N}]"), F.char(F.lit(97) + by % 26))
+    return out.otherwise(char)
 
 
-def permuted(value: Column, key: str, kind: str, letters: int = 26) -> Column:
+def permuted(value: Column, key: str, kind: str, letters: int = 26, wide: bool = False) -> Column:
     """A keyed permutation of all strings of the value's format, character class by character class."""
 
     def moved(half: Column, other: Column, turn: Column) -> Column:
@@ -69,7 +88,7 @@ def permuted(value: Column, key: str, kind: str, letters: int = 26) -> Column:
         return _let(
             stream,
             lambda s: F.when(half == "", F.lit("")).otherwise(
-                F.array_join(F.transform(F.split(half, _EACH), lambda c, j: _shifted(c, _number(F.substr(s, (j % 32) * 4 + 1, F.lit(4))), letters)), "")
+                F.array_join(F.transform(F.split(half, _EACH), lambda c, j: _shifted(c, _number(F.substr(s, (j % 32) * 4 + 1, F.lit(4))), letters, wide)), "")
             ),
         )
 
@@ -160,7 +179,24 @@ def _date(m: Column, key: str, year_first: bool) -> Column:
         new = F.date_add(F.lit(_FIRST_DAY).cast("date"), n.cast("int"))
         return F.date_format(new, "yyyy-MM-dd") if year_first else F.concat(F.date_format(new, "dd"), part(3, 1), F.date_format(new, "MM"), part(3, 1), F.date_format(new, "yyyy"))
 
-    return F.when(day.isNotNull() & (number >= 0), _let(permuted_number(number, _A, _B, key, "date"), said))
+    whole = F.when(day.isNotNull() & (number >= 0), _let(permuted_number(number, _A, _B, key, "date"), said))
+    return whole if year_first else F.coalesce(whole, _month_first(m, key))
+
+
+def _month_first(m: Column, key: str) -> Column:
+    """A date as MM, mark, dd, mark, yyyy with a day above 12; the new one has such a day, too, so it meets no day-first date."""
+    part = lambda at, n: F.substr(m, F.lit(at), F.lit(n))
+    month, day, year = part(1, 2).cast("int"), part(4, 2).cast("int"), part(7, 4).cast("int")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    say = lambda mm, dd, yyyy: F.concat(mm, part(3, 1), dd, part(3, 1), yyyy.cast("string"))
+    late = F.array(*[F.lit(x) for x in _LATE_DAYS])
+    at = F.array_position(late, F.concat(part(1, 2), part(4, 2)))
+    some = lambda index, a, b, kind, body: _let(permuted_number(index, a, b, key, kind), lambda n: body(n.cast("int")))
+    return (
+        F.when(month.between(1, 12) & day.between(13, 28), some((year - 1900) * 192 + (month - 1) * 16 + day - 13, 240, 160, "month_date", lambda n: say(two(F.floor(n % 192 / 16) + 1), two(n % 16 + 13), F.floor(n / 192) + 1900)))
+        .when(at > 0, some((year - 1900) * 29 + at - 1, 58, 100, "late_date", lambda n: _let(F.element_at(late, n % 29 + 1), lambda d: say(F.substr(d, F.lit(1), F.lit(2)), F.substr(d, F.lit(3), F.lit(2)), F.floor(n / 29) + 1900))))
+        .when((month == 2) & (day == 29) & (year % 4 == 0) & (year > 1900), some(F.floor((year - 1904) / 4), 7, 7, "leap_date", lambda n: say(F.lit("02"), F.lit("29"), n * 4 + 1904)))
+    )
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -172,7 +208,7 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    return F.concat(permuted(F.substring_index(m, "@", 1), key, "email"), F.lit("@"), F.substring_index(m, "@", -1))
+    return F.concat(permuted(F.substring_index(m, "@", 1), key, "email", wide=True), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _kind(m: Column) -> Column:
