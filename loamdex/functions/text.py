@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ SCRIPT_SHARE = 0.15
 #: Limits of the trust score.
 LEAST_WORDS, REPLACED, REPLACED_AT_LEAST, PRIVATE, CONTROL, LETTERS, MIXED, MIXED_AT_LEAST = 3, 0.005, 3, 0.01, 0.01, 0.50, 0.05, 2
 CHUNK_WORDS, CHUNK_OVERLAP, CHUNK_SENTENCES_BACK = 200, 30, 3
+#: Fixed value: where sentences end.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Zऀ-ॿ])|\n{2,}"
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "ref_src", "igshid", "si")
 MIME_BY_EXTENSION = {
     "pdf": "application/pdf",
@@ -65,36 +67,40 @@ def repaired(text: Column) -> Column:
 
 def word_windows(text: Column, size: int = CHUNK_WORDS, overlap: int = CHUNK_OVERLAP) -> Column:
     """Array of windows of ``size`` words that overlap; a text of no more words is one window as it is."""
-    cut = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
     step = size - overlap
-    starts = F.sequence(F.lit(1), F.greatest(F.size(cut) - overlap, F.lit(1)), F.lit(step))
-    windows = F.transform(starts, lambda at: F.array_join(F.slice(cut, at, F.lit(size)), " "))
-    return F.when(F.size(cut) <= size, F.array(text)).otherwise(windows)
-
-
-def sentence_chunks(text: str, target: int = CHUNK_WORDS, back: int = CHUNK_SENTENCES_BACK) -> list[str]:
-    """Sentences filled up to ``target`` words, stepping back up to ``back`` sentences after each chunk, the last included."""
-    import re
-
-    said = [s for s in re.split(r"(?<=[.!?])\s+(?=[A-Zऀ-ॿ])|\n{2,}", text) if s.strip()]
-    if not said:
-        return [text]
-    counts, out, at = [len(re.split(r"\s+", s)) for s in said], [], 0
-    while at < len(said):
-        start, words = at, 0
-        while at < len(said) and words < target:
-            words += counts[at]
-            at += 1
-        out.append(" ".join(said[start:at]))
-        at = max(at - back, start + 1)
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def sentence_chunks_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """X3 on columns."""
-    for batch in texts:
-        yield batch.map(lambda t: None if t is None else sentence_chunks(t))
+
+    def windows(cut: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(cut) - overlap, F.lit(1)), F.lit(step))
+        return F.when(F.size(cut) > size, F.transform(starts, lambda at: F.array_join(F.slice(cut, at, F.lit(size)), " ")))
+
+    # the words are bound once: a window takes its slice of them and doesn't cut the text again
+    return F.coalesce(F.element_at(F.transform(F.array(words), windows), 1), F.when(text.isNotNull(), F.array(text)))
+
+
+def sentence_chunks(df: DataFrame, id_col: str, text_col: str, target: int = CHUNK_WORDS, back: int = CHUNK_SENTENCES_BACK) -> DataFrame:
+    """(id, chunk, text): sentences filled up to ``target`` words, the next chunk beginning ``back`` sentences before the last one's end.
+
+    Where a chunk that begins at a sentence ends is a count over the running number of words; which sentences begin chunks is then one walk
+    over these ends.  A text without sentences is one chunk as it is; ids must be unique.
+    """
+    said = F.filter(F.split(text_col, SENTENCE_END), lambda s: F.trim(s) != "")
+    rows = df.where(F.col(text_col).isNotNull()).select(id_col, F.when(F.size(said) > 0, said).otherwise(F.array(F.col(text_col))).alias("said"))
+    rows = rows.select(id_col, F.posexplode("said").alias("i", "s"))
+    order = Window.partitionBy(id_col).orderBy("i")
+    before = F.coalesce(F.sum(F.size(F.split("s", r"\s+"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reach = F.count("*").over(Window.partitionBy(id_col).orderBy("before").rangeBetween(0, target - 1))
+    rows = rows.withColumn("before", before).withColumn("end", (F.col("i") + reach).cast("int")).withColumn("next", F.greatest(F.col("end") - back, F.col("i") + 1))
+    whole = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "end", "next", "s"))).alias("x"))
+    walk = F.aggregate(
+        "x",
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda w, x: F.when(x["i"] == w["at"], F.struct(x["next"].alias("at"), F.concat(w["starts"], F.array(x["i"])).alias("starts"))).otherwise(w),
+        lambda w: w["starts"],
+    )
+    whole = whole.withColumn("starts", walk)
+    chunk = lambda i: F.array_join(F.transform(F.slice("x", i + 1, F.get("x", i)["end"] - i), lambda x: x["s"]), " ")
+    return whole.select(id_col, F.posexplode(F.transform("starts", chunk)).alias("chunk", "text"))
 
 
 def script(text: Column, share: float = SCRIPT_SHARE) -> Column:

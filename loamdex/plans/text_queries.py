@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.functions import facts, spelling as sp, text as tx
+from loamdex.functions import answers as an, facts, spelling as sp, text as tx
 from loamdex.plans import reading
 from loamdex.plans.registry import Tables, query
 
@@ -18,23 +18,49 @@ def word_window_chunks(t: Tables) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars"))
 
 
-@query("X3")
+@query(
+    "X3",
+    r"""WITH RECURSIVE s AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+([A-Zऀ-ॿ])', '\1' || chr(1) || '\2', 'g'), '\n{2,}', chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS cut FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT doc_id, CASE WHEN len(cut) > 0 THEN cut ELSE [text] END AS said FROM s), r AS (SELECT doc_id, unnest(said) AS s, unnest(range(len(said))) AS i FROM t),
+    b AS (SELECT doc_id, i, coalesce(sum(len(regexp_split_to_array(s, '\s+'))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
+    e AS (SELECT doc_id, i, i + count(*) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 199 FOLLOWING) AS e FROM b),
+    w AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, 0 AS k FROM t UNION ALL SELECT w.doc_id, greatest(e.e - 3, e.i + 1), k + 1 FROM w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i)
+    SELECT doc_id, k AS chunk_index, length(c) AS chars, md5(c) AS hash FROM (SELECT w.doc_id, k, array_to_string(said[w.i + 1:e.e], ' ') AS c FROM w JOIN e ON e.doc_id = w.doc_id AND e.i = w.i JOIN t ON t.doc_id = w.doc_id)""",
+)
 def sentence_chunks(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.posexplode(tx.sentence_chunks_of("text")).alias("chunk_index", "chunk"))
-    return rows.select("doc_id", "chunk_index", F.length("chunk").alias("chars"), F.md5(F.col("chunk").cast("binary")).alias("hash"))
+    rows = tx.sentence_chunks(t.documents, "doc_id", "text")
+    return rows.select("doc_id", F.col("chunk").alias("chunk_index"), F.length("text").alias("chars"), F.md5(F.col("text").cast("binary")).alias("hash"))
 
 
-@query("X1", "SELECT doc_id, md5(nfc_normalize(text)) AS hash FROM documents WHERE lang <> 'en'")
+@query("X1", "SELECT doc_id, md5(nfc_normalize(text)) AS hash FROM documents")
 def nfc_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(tx.nfc("text").cast("binary")).alias("hash"))
 
 
-@query("X4 A25", """SELECT lang, count(*) AS n, CAST(sum(length(regexp_replace(text, '[^\\p{L}]', '', 'g'))) AS BIGINT) AS letters, CAST(sum(length(regexp_replace(text, '[^0-9]', '', 'g'))) AS BIGINT) AS digits, 'en' AS script FROM documents GROUP BY 1""")
+def script_sql(text: str) -> str:
+    """SQL for the script of a text: the first of the largest counts, if it has its share."""
+    counts = ", ".join(f"length(regexp_replace({text}, '[^\\x{{{lo:X}}}-\\x{{{hi:X}}}]', '', 'g'))" for lo, hi in tx.SCRIPTS.values())
+    codes = ", ".join(f"'{c}'" for c in tx.SCRIPTS)
+    return f"(SELECT CASE WHEN list_max(c) > 0 AND list_max(c) >= length({text}) * 0.15 THEN [{codes}][list_position(c, list_max(c))] ELSE 'en' END FROM (SELECT [{counts}] AS c))"
+
+
+@query("X4 A25", f"""SELECT lang, count(*) AS n, CAST(sum(length(regexp_replace(text, '[^\\p{{L}}]', '', 'g'))) AS BIGINT) AS letters, CAST(sum(length(regexp_replace(text, '[^0-9]', '', 'g'))) AS BIGINT) AS digits, max({script_sql("text")}) AS script FROM documents GROUP BY 1""")
 def script_histogram(t: Tables) -> DataFrame:
     rows = t.documents.select("lang", tx.count_of(F.col("text"), r"\p{L}").alias("letters"), tx.count_of(F.col("text"), "[0-9]").alias("digits"), tx.script(F.col("text")).alias("script"))
     return rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum("letters").alias("letters"), F.sum("digits").alias("digits"), F.max("script").alias("script"))
 
 
+#: Greetings in several scripts, some mixed, for texts that the tables don't have.
+GREETINGS = ("नमस्ते दुनिया", "স্বাগতম", "வணக்கம் ab", "مرحبا بالعالم", "你好", "こんにちは你好世界", "안녕하세요 hello", "hello world", "สวัสดี ไทย नमस्ते", "x 你")
+
+
+@query("X4", f"""SELECT script, count(*) AS n FROM (SELECT {script_sql("said")} AS script FROM (SELECT source || ' ' || [{", ".join(f"'{g}'" for g in GREETINGS)}][CAST(doc_id % {len(GREETINGS)} AS INT) + 1] AS said FROM documents)) GROUP BY 1""")
+def scripts_of_greetings(t: Tables) -> DataFrame:
+    """The script of each source's name with a greeting behind it."""
+    greeting = F.element_at(F.array(*[F.lit(g) for g in GREETINGS]), (F.col("doc_id") % len(GREETINGS)).cast("int") + 1)
+    return t.documents.groupBy(tx.script(F.concat("source", F.lit(" "), greeting)).alias("script")).agg(F.count("*").alias("n"))
+
+
 @query("X5 X50")
 def trust_scores(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", tx.trust(F.col("text")).alias("t"))
@@ -197,7 +223,7 @@ def query_tiers(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "query string, tier string, since string, until string")
 
 
-@query("X45", "SELECT o_orderkey, strftime(o_orderdate - to_months(CAST(o_orderkey % 5 AS INT)), '%Y-%m') AS month FROM orders WHERE o_orderkey < 2000")
+@query("X45", "SELECT o_orderkey, strftime(o_orderdate - to_months(CAST(o_orderkey % 5 AS INT)), '%Y-%m') AS month FROM orders")
 def month_tokens(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.date_format(F.add_months("o_orderdate", -(F.col("o_orderkey") % 5).cast("int")), "yyyy-MM").alias("month"))
 
@@ -217,18 +243,36 @@ def folded_words(t: Tables) -> DataFrame:
     return words.select("word", sp.folded(F.col("word")).alias("key"))
 
 
-@query("R39", "SELECT * FROM (VALUES ('नमस्ते', 'namaste'), ('बिजली', 'bijlee'), ('किताब', 'kitaab'), ('राम', 'raam'), ('हिंदी', 'hindee')) v(word, latin)")
+WORDS_IN_LATIN = {"नमस्ते": "namaste", "बिजली": "bijlee", "किताब": "kitaab", "राम": "raam", "हिंदी": "hindee", "कमल": "kamal", "समझना": "samajhnaa", "प्रदेश": "pradesh", "दुःख": "duhkh", "अगर": "agar", "न": "na", "औरत": "aurat", "ज़मीन": "jameen", "ऋषि": "rishi"}
+
+
+@query("R39", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{x}')" for w, x in WORDS_IN_LATIN.items()) + ") v(word, latin)")
 def romanised_words(t: Tables) -> DataFrame:
-    words = t.spark.createDataFrame([("नमस्ते किताब राम, बिजली",), ("हिंदी",)], "text string").select(F.explode(sp.shadows(F.col("text"))).alias("word"))
-    return words.select("word", sp.romanised_of("word").alias("latin"))
+    words = t.spark.createDataFrame([(w,) for w in WORDS_IN_LATIN], "word string")
+    return words.select("word", sp.romanised(F.col("word")).alias("latin"))
+
 
+@query("R39 R2", "SELECT * FROM (VALUES (1, 'bijli bil', 2), (2, 'bijli gar bil', 3), (3, 'gar', 0), (4, '', 0)) v(id, shadows, run)")
+def shadow_runs(t: Tables) -> DataFrame:
+    """Keys of what is written, and how long a run of typed words stands there; a small word may be left out."""
+    rows = t.spark.createDataFrame([(1, "बिजली बिल 2024"), (2, "यह बिजली घर बिल"), (3, "घर"), (4, "no such word")], "id int, said string")
+    typed = {"bijli": "bijli", "ka": "ka", "bill": "bil"}
+    keys = sp.shadows(F.regexp_replace("said", "यह", ""))
+    run = sp.spelled_run(F.regexp_replace("said", "घर", ""), list(typed), typed, ["ka"])
+    return rows.select("id", F.array_join(keys, " ").alias("shadows"), run.alias("run"))
 
-@query("X39", "SELECT event_id, 'ab' AS text, 0.5 AS confidence FROM events WHERE event_type = 'purchase'")
+
+@query(
+    "X39",
+    """WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s FROM orders), k AS (SELECT o_orderkey, s, list_filter(range(1, length(s) + 1), lambda i: s[i] <> '0' AND (i = 1 OR s[i] <> s[i - 1])) AS at FROM o)
+    SELECT o_orderkey, array_to_string(list_transform(at, lambda i: chr(96 + CAST(s[i] AS INT))), '') AS text, round(coalesce(list_sum(list_transform(at, lambda i: (10.0 + CAST(s[i] AS INT)) / 20)) / len(at), 0), 6) AS confidence FROM k""",
+)
 def reader_steps(t: Tables) -> DataFrame:
-    steps = F.array(*[F.lit(x) for x in (0, 1, 1, 0, 2, 2)])
-    scores = F.array(*[F.lit(x) for x in (0.9, 0.25, 0.1, 0.9, 0.75, 0.1)])
-    rows = t.events.where("event_type = 'purchase'").select("event_id", sp.ctc_text(steps, scores, F.array(F.lit("a"), F.lit("b"))).alias("r"))
-    return rows.select("event_id", "r.text", "r.confidence")
+    """The digits of each order's key as a reader's classes, 0 the blank one."""
+    best = F.transform(F.split(F.col("o_orderkey").cast("string"), r"(?!^)(?!\z)"), lambda c: c.cast("int"))
+    letters = F.array(*[F.lit(chr(96 + i)) for i in range(1, 10)])
+    rows = t.orders.select("o_orderkey", sp.ctc_text(best, F.transform(best, lambda c: (c + 10) / F.lit(20.0)), letters).alias("r"))
+    return rows.select("o_orderkey", "r.text", F.round("r.confidence", 6).alias("confidence"))
 
 
 @query("X34 X37")
@@ -243,4 +287,4 @@ def merged_readings(t: Tables) -> DataFrame:
 
 @query("R35 S7")
 def direct_answers(t: Tables) -> DataFrame:
-    return sp.answers(t.documents, "doc_id", "text", "which version of the general public license").orderBy(F.desc("words"), "doc_id").limit(20)
+    return an.answers(t.documents, "doc_id", "text", "which version of the general public license").orderBy(F.desc("words"), "doc_id").limit(20)

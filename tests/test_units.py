@@ -16,10 +16,58 @@ from loamdex.plans import reading
 from loamdex.sources import files
 
 
-def test_sentence_chunks_step_back_after_the_last_window():
+def test_sentence_chunks_step_back_after_the_last_window(spark):
     said = "One is here. Two is here. Three is here. Four is here. Five is here."
-    assert [c.count(".") for c in tx.sentence_chunks(said)] == [5, 3, 2, 1]
-    assert tx.sentence_chunks("") == [""]
+    long = " ".join(f"Sentence {i} says so and so. " + "word " * (i % 50) for i in range(400))
+    df = spark.createDataFrame([(1, said), (2, ""), (3, None), (4, " \n\n "), (5, long)], "id long, t string")
+    got = {}
+    for r in tx.sentence_chunks(df, "id", "t").orderBy("id", "chunk").collect():
+        got.setdefault(r.id, []).append(r.text)
+    assert [c.count(".") for c in got[1]] == [5, 3, 2, 1] and got[2] == [""] and got[4] == [" \n\n "] and got.keys() == {1, 2, 4, 5}
+    # by the rule: which sentences each chunk holds
+    cut = [s for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", long) if s.strip()]
+    counts, at, want = [len(re.split(r"\s+", s)) for s in cut], 0, []
+    while at < len(cut):
+        end = next((e for e in range(at + 1, len(cut)) if sum(counts[at:e]) >= 200), len(cut))
+        want.append(" ".join(cut[at:end]))
+        at = max(end - 3, at + 1)
+    assert got[5] == want
+
+
+def test_romanised_words_and_keys(spark):
+    from loamdex.functions import spelling as sp
+    from loamdex.plans.text_queries import WORDS_IN_LATIN
+
+    df = spark.createDataFrame([(w,) for w in WORDS_IN_LATIN], "w string").select("w", sp.romanised(F.col("w")).alias("x"))
+    assert {r.w: r.x for r in df.collect()} == WORDS_IN_LATIN
+    df = spark.createDataFrame([("मेरा पैन कार्ड, मेरा",)], "t string").select(sp.shadows(F.col("t")).alias("k"))
+    assert df.first().k == ["mera", "pen", "kard"]
+
+
+def test_questions_and_answers(spark):
+    """Against a direct search for the best place of each text."""
+    from loamdex.functions import answers as an
+
+    assert an.fact_asked("how much is the fee due when") == "AMOUNT" and an.fact_asked("date of birth on my pan card") == "DATE"
+    assert an.fact_asked("pan number") == "PAN" and an.fact_asked("expand this") is None
+    assert an.about_words("when is the school fee due") == ["school", "fee", "due"] and an.about_words("what is my date") == ["date"]
+    texts = ["The school fee is due. " + "pad " * 60 + "School fee due on 12/04/2024 or Rs. 5,000", "fee " * 5 + "x" * 700 + " 2024-01-01", "no such thing", None, "Fee 1 Jan 2023 school " + "y " * 200 + "school of 3 Feb 2021"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r.id: r for r in an.answers(df, "id", "t", "when is the school fee").collect()}
+    about, pattern = ["school", "fee"], re.compile(an.FACTS["DATE"][1])
+    for i, text in enumerate(texts):
+        t = " ".join((text or "").split())
+        places = sorted({m.start() for w in about for m in re.finditer(w, t.lower())})
+        if not places:
+            assert i not in got
+            continue
+        ahead = {p: [q for w in about if 0 <= (q := t.lower().find(w, p)) < p + an.WINDOW] for p in places}
+        at = min(places, key=lambda p: (-len(ahead[p]), max(ahead[p]) - p, p))
+        dates = [(m.start(), m[0]) for m in pattern.finditer(t)]
+        behind = [v for p, v in dates if at <= p <= at + an.WINDOW]
+        near = sorted((abs(p - at), p, v) for p, v in dates if abs(p - at) <= 3 * an.WINDOW)
+        want = behind[0] if behind else near[0][2] if near else None
+        assert (got[i].words, got[i].value, got[i].quote) == (len(ahead[at]), want, t[max(0, at - 40) : at + an.WINDOW])
 
 
 def test_word_windows(spark):
