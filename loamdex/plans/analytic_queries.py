@@ -197,7 +197,7 @@ def ir_metrics(t: Tables) -> DataFrame:
 
 @query(
     "X26 X27",
-    "SELECT c_custkey, levenshtein(lower(c_mktsegment), 'machinery') AS edits, round(levenshtein(lower(c_mktsegment), 'machinery') / length(c_mktsegment), 6) AS cer, round(greatest(1 - levenshtein(lower(c_mktsegment), 'machinery') / length(c_mktsegment), 0), 6) AS accuracy FROM customer WHERE c_custkey < 500",
+    "SELECT c_custkey, levenshtein(lower(c_mktsegment), 'machinery') AS edits, round(levenshtein(lower(c_mktsegment), 'machinery') / length(c_mktsegment), 6) AS cer, round(greatest(1 - levenshtein(lower(c_mktsegment), 'machinery') / length(c_mktsegment), 0), 6) AS accuracy FROM customer",
 )
 def character_errors(t: Tables) -> DataFrame:
     rates = an.error_rates(F.lower("c_mktsegment"), F.lit("machinery"))

@@ -125,7 +125,7 @@ def whole_word_documents(t: Tables) -> DataFrame:
 @query(
     "R18 S6",
     r"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])general(s|es)?[^\p{L}\p{M}\p{N}]+public(s|es)?[^\p{L}\p{M}\p{N}]+license(s|es)?([^\p{L}\p{M}\p{N}]|$)') THEN 3
-    WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(general(s|es)?[^\p{L}\p{M}\p{N}]+public(s|es)?|public(s|es)?[^\p{L}\p{M}\p{N}]+license(s|es)?)([^\p{L}\p{M}\p{N}]|$)') THEN 2 ELSE 0 END AS run FROM documents WHERE contains(lower(text), 'licen')""",
+    WHEN regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}])(general(s|es)?[^\p{L}\p{M}\p{N}]+public(s|es)?|public(s|es)?[^\p{L}\p{M}\p{N}]+license(s|es)?)([^\p{L}\p{M}\p{N}]|$)') THEN 2 ELSE 0 END AS run FROM documents""",
 )
 def words_in_order(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", lex.longest_run(F.col("text"), ["general", "publics", "license"]).alias("run"))

@@ -277,7 +277,7 @@ def anti_join_unlabelled(t: Tables) -> DataFrame:
     return t.documents.select("doc_id").join(t.labels.where("toxic = 0").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("J6 W1", "SELECT a.l_orderkey, a.l_linenumber FROM lineitem a WHERE a.l_orderkey < 20000 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag = a.l_returnflag AND b.l_linenumber < a.l_linenumber)")
+@query("J6 W1", "SELECT a.l_orderkey, a.l_linenumber FROM lineitem a WHERE NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_returnflag = a.l_returnflag AND b.l_linenumber < a.l_linenumber)")
 def theta_first_line_item(t: Tables) -> DataFrame:
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag")
     # no row of the same order and flag has a smaller line: ties at the smallest all stay
@@ -388,7 +388,7 @@ def stage_totals(t: Tables) -> DataFrame:
 
 @query(
     "W2 W3",
-    """WITH r AS (SELECT *, first_value(l_returnflag) OVER w AS f FROM lineitem WHERE l_orderkey < 20000 WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber))
+    """WITH r AS (SELECT *, first_value(l_returnflag) OVER w AS f FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber))
     SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = f THEN 0 ELSE 1 END, l_quantity DESC, l_shipdate, l_linenumber) AS rn FROM r) WHERE rn = 1""",
 )
 def best_of_first_ties(t: Tables) -> DataFrame:
@@ -431,7 +431,7 @@ def stretches_of_six(t: Tables) -> DataFrame:
 @query(
     "W11 R22",
     f"""WITH {EAV} SELECT o_orderkey AS item_id, strftime(coalesce(d.ts, TIMESTAMP '1990-01-01'), '%Y-%m-%d') AS effective FROM orders LEFT JOIN (SELECT item_id, ts, row_number() OVER (PARTITION BY item_id ORDER BY ts) AS rn
-    FROM eav WHERE type = 'DATE' AND item_id % 3 <> 0) d ON d.item_id = o_orderkey AND rn = 1 WHERE o_orderkey < 5000""",
+    FROM eav WHERE type = 'DATE' AND item_id % 3 <> 0) d ON d.item_id = o_orderkey AND rn = 1""",
 )
 def effective_date(t: Tables) -> DataFrame:
     first = op.first_per(eav(t).where("type = 'DATE' and item_id % 3 <> 0").select("item_id", "ts"), ["item_id"], [F.asc("ts")])
@@ -467,7 +467,7 @@ def recent_distinct_history(t: Tables) -> DataFrame:
 
 @query(
     "O3",
-    "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey < 3000 ORDER BY (CAST(l_quantity AS BIGINT) * 1024 + l_linenumber) DESC, l_orderkey, l_linenumber LIMIT 50",
+    "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY (CAST(l_quantity AS BIGINT) * 1024 + l_linenumber) DESC, l_orderkey, l_linenumber LIMIT 50",
 )
 def packed_key_sort(t: Tables) -> DataFrame:
     key = F.col("l_quantity").cast("long") * 1024 + F.col("l_linenumber")

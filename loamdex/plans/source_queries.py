@@ -11,7 +11,7 @@ from loamdex.sources import files
 from loamdex.streaming.jobs import folder
 
 
-@query("S11 S15 T5", "SELECT conv_id || '.docx' AS path, 0 AS page, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE conv_id % 5 = 0 GROUP BY conv_id")
+@query("S11 S15 T5", "SELECT conv_id || '.docx' AS path, 0 AS page, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
 def word_files(t: Tables) -> DataFrame:
     rows = t.conversations.select("conv_id", "turn", F.regexp_replace("text", r"[\r\n]", " ").alias("text"))
     pages = files.pages_of(files.packed_docx(rows, "conv_id", "turn", "text"))

@@ -149,7 +149,7 @@ def amount_extract(t: Tables) -> DataFrame:
     return rows.where("number is not null")
 
 
-@query("X7 X8 X9 X53", """WITH o AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS price, c_mktsegment AS who, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey < 3000)
+@query("X7 X8 X9 X53", """WITH o AS (SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS price, c_mktsegment AS who, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders JOIN customer ON o_custkey = c_custkey)
     SELECT o_orderkey, 'AMOUNT' AS kind, price AS value, CAST(price AS DOUBLE) AS number, 0.9 AS trust FROM o UNION ALL SELECT o_orderkey, 'ID_NUMBER', 'AB' || (o_orderkey + 10000), NULL, 0.9 FROM o
     UNION ALL SELECT o_orderkey, 'DATE', day, NULL, 0.8 FROM o UNION ALL SELECT o_orderkey, 'PARTY', who, NULL, 0.6 FROM o""")
 def facts_of_receipts(t: Tables) -> DataFrame:
@@ -158,7 +158,7 @@ def facts_of_receipts(t: Tables) -> DataFrame:
     return facts.facts(rows.select("o_orderkey", said.alias("text")), "o_orderkey", "text")
 
 
-@query("X9 X12", """SELECT d, m, y, strftime(try_cast(y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE), '%Y-%m-%d') AS day FROM (SELECT CAST(o_orderkey % 33 AS INT) AS d, CAST(o_orderkey % 14 AS INT) AS m, CAST(1990 + o_orderkey % 30 AS INT) AS y FROM orders WHERE o_orderkey < 3000)""")
+@query("X9 X12", """SELECT d, m, y, strftime(try_cast(y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS DATE), '%Y-%m-%d') AS day FROM (SELECT CAST(o_orderkey % 33 AS INT) AS d, CAST(o_orderkey % 14 AS INT) AS m, CAST(1990 + o_orderkey % 30 AS INT) AS y FROM orders)""")
 def guarded_dates(t: Tables) -> DataFrame:
     rows = t.orders.selectExpr("cast(o_orderkey % 33 as int) d", "cast(o_orderkey % 14 as int) m", "cast(1990 + o_orderkey % 30 as int) y")
     return rows.select("d", "m", "y", F.date_format(facts.date_of(F.col("d"), F.col("m"), F.col("y")), "yyyy-MM-dd").alias("day"))
@@ -252,20 +252,18 @@ def romanised_words(t: Tables) -> DataFrame:
     return words.select("word", sp.romanised(F.col("word")).alias("latin"))
 
 
-@query("R39 R2", "SELECT * FROM (VALUES (1, 'bijli bil', 2), (2, 'bijli gar bil', 3), (3, 'gar', 0), (4, '', 0)) v(id, shadows, run)")
+@query("R39 R2", "SELECT * FROM (VALUES (1, 'bijli bil', 3), (2, 'bijli ghar bil', 1), (3, 'ghar', 0), (4, '', 0), (5, 'bijli ka bil', 3)) v(id, shadows, run)")
 def shadow_runs(t: Tables) -> DataFrame:
-    """Keys of what is written, and how long a run of typed words stands there; a small word may be left out."""
-    rows = t.spark.createDataFrame([(1, "बिजली बिल 2024"), (2, "यह बिजली घर बिल"), (3, "घर"), (4, "no such word")], "id int, said string")
+    """Keys of what is written, and how long a run of "bijli ka bill" stands there; the small word may be missing, and counts."""
+    rows = t.spark.createDataFrame([(1, "बिजली बिल 2024"), (2, "बिजली घर बिल"), (3, "घर"), (4, "no such word"), (5, "बिजली का बिल")], "id int, said string")
     typed = {"bijli": "bijli", "ka": "ka", "bill": "bil"}
-    keys = sp.shadows(F.regexp_replace("said", "यह", ""))
-    run = sp.spelled_run(F.regexp_replace("said", "घर", ""), list(typed), typed, ["ka"])
-    return rows.select("id", F.array_join(keys, " ").alias("shadows"), run.alias("run"))
+    return rows.select("id", F.array_join(sp.shadows(F.col("said")), " ").alias("shadows"), sp.spelled_run(F.col("said"), list(typed), typed, ["ka"]).alias("run"))
 
 
 @query(
     "X39",
-    """WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s FROM orders), k AS (SELECT o_orderkey, s, list_filter(range(1, length(s) + 1), lambda i: s[i] <> '0' AND (i = 1 OR s[i] <> s[i - 1])) AS at FROM o)
-    SELECT o_orderkey, array_to_string(list_transform(at, lambda i: chr(96 + CAST(s[i] AS INT))), '') AS text, round(coalesce(list_sum(list_transform(at, lambda i: (10.0 + CAST(s[i] AS INT)) / 20)) / len(at), 0), 6) AS confidence FROM k""",
+    """WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s FROM orders), k AS (SELECT o_orderkey, s, list_filter(range(1, length(s) + 1), lambda i: s[i] <> '0' AND (i = 1 OR s[i] <> s[i - 1])) AS spots FROM o)
+    SELECT o_orderkey, array_to_string(list_transform(spots, lambda i: chr(96 + CAST(s[i] AS INT))), '') AS text, round(coalesce(list_sum(list_transform(spots, lambda i: (10.0 + CAST(s[i] AS INT)) / 20)) / len(spots), 0), 6) AS confidence FROM k""",
 )
 def reader_steps(t: Tables) -> DataFrame:
     """The digits of each order's key as a reader's classes, 0 the blank one."""
