@@ -78,24 +78,6 @@ def roots(word: str) -> list[str]:
     return sorted(r for r in out if len(r) >= LEAST_ROOT)
 
 
-def expanded(vocab: DataFrame, query: Sequence[str]) -> list[tuple[list[str], float]]:
-    """Each word as it is if the vocabulary has it; else the terms that contain it; else near spellings and roots, at half weight.
-
-    The driver gets the matching terms of the query's unknown words, not the vocabulary.
-    """
-    known = {r.term for r in vocab.where(F.col("term").isin(*query)).collect()}
-    out = []
-    for word in query:
-        if word in known:
-            out.append(([word], 1.0))
-            continue
-        found = [r.term for r in vocab.where(F.contains(F.col("term"), F.lit(word))).collect()]
-        if not found:
-            found = [r.term for r in vocab.where(near(F.col("term"), word) | F.col("term").isin(*roots(word) or [word])).collect()]
-        out.append((sorted(found), NEAR_WEIGHT))
-    return out
-
-
 def has_all(text: Column, terms: Sequence[str]) -> Column:
     """Every term is a word of the text; ``abc*`` stands for a beginning."""
     cut = words(text)

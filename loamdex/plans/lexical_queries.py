@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.operators import fusion, lexical as lex
+from loamdex.operators import fusion, inverted, lexical as lex
 from loamdex.plans.registry import Tables, query
+from loamdex.streaming.jobs import folder
 
 W = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')"
 
@@ -20,8 +21,13 @@ def bm25_sql(words: list[str], extra: str = "", table: str = "documents") -> str
     s AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))) AS score FROM tf JOIN df USING (i), n WHERE tf > 0 GROUP BY 1){extra}"""
 
 
+def index(t: Tables) -> inverted.Index:
+    """The keyword index of documents, made once and read by all queries over the same files."""
+    return inverted.of_table(t.spark, f"{t.folder}/documents.parquet", "doc_id", "text", folder(t.spark))
+
+
 def score(t: Tables, words: list[str]) -> DataFrame:
-    return lex.bm25(t.documents, "doc_id", "text", [([w], 1.0) for w in words])
+    return index(t).bm25(words).withColumnRenamed("id", "doc_id")
 
 
 ROUNDED = "round(score, 6) AS score"
@@ -54,8 +60,7 @@ def bm25_per_lang(t: Tables) -> DataFrame:
 
 @query("R4", f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({W}) AS term FROM documents) GROUP BY 1 ORDER BY df DESC, term LIMIT 200")
 def term_statistics(t: Tables) -> DataFrame:
-    posts = lex.postings(t.documents, "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    return posts.orderBy(F.desc("df"), "term").limit(200)
+    return index(t).terms().orderBy(F.desc("df"), "term").limit(200)
 
 
 @query(
@@ -65,8 +70,8 @@ def term_statistics(t: Tables) -> DataFrame:
     SELECT doc_id, round(0.5 * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean)), 6) AS score FROM tf, f, n WHERE tf > 0""",
 )
 def unknown_word_fallback(t: Tables) -> DataFrame:
-    groups = lex.expanded(lex.vocabulary(t.documents, "text"), ["licens"])
-    return lex.bm25(t.documents, "doc_id", "text", groups).withColumn("score", F.round("score", 6))
+    own = index(t)
+    return own.bm25(own.expanded(["licens"])).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(
@@ -75,7 +80,7 @@ def unknown_word_fallback(t: Tables) -> DataFrame:
     SELECT word, term, levenshtein(term, word) AS distance FROM q JOIN terms ON regexp_matches(term, '^[a-z0-9]+$') AND length(term) >= 3 AND abs(length(term) - length(word)) <= most AND levenshtein(term, word) <= most""",
 )
 def fuzzy_vocab_match(t: Tables) -> DataFrame:
-    vocab = lex.vocabulary(t.documents, "text").where("term rlike '^[a-z0-9]+$'")
+    vocab = index(t).vocabulary().where("term rlike '^[a-z0-9]+$'")
     parts = [vocab.where(lex.near(F.col("term"), w)).select(F.lit(w).alias("word"), "term", F.levenshtein("term", F.lit(w)).cast("long").alias("distance")) for w in ("licence", "publick", "teh", "wiht")]
     out = parts[0]
     for p in parts[1:]:
@@ -88,7 +93,7 @@ def fuzzy_vocab_match(t: Tables) -> DataFrame:
     rf"WITH terms AS (SELECT DISTINCT unnest({W}) AS term FROM documents) SELECT word, term FROM (VALUES ('licensing', 'licens'), ('licensing', 'license'), ('generalities', 'general'), ('generalities', 'generale'), ('worker', 'work'), ('worker', 'worke')) q(word, root) JOIN terms ON term = root",
 )
 def root_match(t: Tables) -> DataFrame:
-    vocab = lex.vocabulary(t.documents, "text")
+    vocab = index(t).vocabulary()
     pairs = [(w, r) for w in ("licensing", "generalities", "worker") for r in lex.roots(w)]
     return vocab.join(F.broadcast(t.spark.createDataFrame(pairs, "word string, term string")), "term").select("word", "term")
 
@@ -133,12 +138,47 @@ def words_in_order(t: Tables) -> DataFrame:
 
 @query(
     "R14 U2 F9",
-    bm25_sql(["license"]) + f", b AS (SELECT doc_id FROM s ORDER BY round(score, 6) DESC, doc_id LIMIT 50), f AS (SELECT doc_id FROM documents WHERE list_contains({W}, 'version') ORDER BY doc_id LIMIT 50) SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM b UNION SELECT doc_id FROM f)",
+    bm25_sql(["license", "public"])
+    + f""", one AS (SELECT i, doc_id, row_number() OVER (PARTITION BY i ORDER BY round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean)), 12) DESC, doc_id) AS r FROM tf JOIN df USING (i), n WHERE tf > 0),
+    b AS (SELECT doc_id FROM s ORDER BY round(score, 12) DESC, doc_id LIMIT 50), f AS (SELECT doc_id FROM documents WHERE list_contains({W}, 'version') ORDER BY doc_id LIMIT 50)
+    SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM b UNION SELECT doc_id FROM f UNION SELECT doc_id FROM one WHERE r <= 20)""",
 )
 def candidate_bounding(t: Tables) -> DataFrame:
-    best = lex.top(score(t, ["license"]).withColumn("score", F.round("score", 6)), "score", "doc_id", 50).select("doc_id")
-    says = t.documents.where(lex.has_all(F.col("text"), ["version"])).select("doc_id").orderBy("doc_id").limit(50)
-    return t.documents.select("doc_id", "lang").join(best.union(says).distinct(), "doc_id", "left_semi")
+    own = index(t)
+    says = own.postings(["version"]).select("id").distinct()
+    some = own.candidates(["license", "public"], says, t.documents.select(F.col("doc_id").alias("id")))
+    return t.documents.select("doc_id", "lang").join(some.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+
+
+@query("R14", "SELECT count(*) AS n FROM documents")
+def candidates_of_nothing(t: Tables) -> DataFrame:
+    """No text has the words, so a search looks at all."""
+    own, every = index(t), t.documents.select(F.col("doc_id").alias("id"))
+    return own.candidates(["qqzzxy"], every.limit(0), every).agg(F.count("*").alias("n"))
+
+
+CHANGED = "(SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN 'license ' || source ELSE text END AS text FROM documents WHERE doc_id % 5 <> 4)"
+
+
+@query(
+    "R4",
+    f"""WITH w AS (SELECT doc_id, {W} AS ws FROM {CHANGED}) SELECT term, df, cf, n, words FROM (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(ws) AS term FROM w) GROUP BY 1), (SELECT count(*) AS n, CAST(sum(len(ws)) AS BIGINT) AS words FROM w)""",
+)
+def index_changed_and_swept(t: Tables) -> DataFrame:
+    """All documents added, every seventh replaced, every fifth removed, and the index swept."""
+    own = inverted.Index(t.spark, folder(t.spark)).add(t.documents, "doc_id", "text")
+    own.add(t.documents.where("doc_id % 7 = 3").withColumn("text", F.concat(F.lit("license "), "source")), "doc_id", "text")
+    own.remove(t.documents.where("doc_id % 5 = 4"), "doc_id").sweep()
+    return own.terms().select("term", "df", "cf", F.lit(own.live).cast("long").alias("n"), F.lit(own.words).cast("long").alias("words"))
+
+
+@query("R4 R5 R7", bm25_sql(["license"], table=CHANGED) + " SELECT doc_id, round(score, 6) AS score FROM s")
+def bm25_of_changed_index(t: Tables) -> DataFrame:
+    """Scores where replaced and removed documents still lie in older segments."""
+    own = inverted.Index(t.spark, folder(t.spark)).add(t.documents, "doc_id", "text")
+    own.add(t.documents.where("doc_id % 7 = 3").withColumn("text", F.concat(F.lit("license "), "source")), "doc_id", "text")
+    own.remove(t.documents.where("doc_id % 5 = 4"), "doc_id")
+    return own.bm25(["license"]).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("R34", "SELECT doc_id, substr(text, greatest(p - 40, 1), p - greatest(p - 40, 1) + 7 + 80) AS excerpt FROM (SELECT *, instr(lower(text), 'license') AS p FROM documents) WHERE p > 0")

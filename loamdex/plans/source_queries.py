@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.operators import lexical as lex
+from loamdex.operators import inverted
 from loamdex.plans.registry import Tables, query
 from loamdex.sources import files
 from loamdex.streaming.jobs import folder
@@ -59,7 +59,6 @@ def pdf_files(t: Tables) -> DataFrame:
 
 @query("T8 R4", r"SELECT count(*) AS postings, CAST(sum(tf) AS BIGINT) AS words FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2)")
 def keyword_index_fill(t: Tables) -> DataFrame:
-    """Postings of all documents, written sorted by term in ranges, so that a term's postings are one file's row groups."""
-    place = folder(t.spark)
-    lex.postings(t.documents, "doc_id", "text").repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.parquet(place)
-    return t.spark.read.parquet(place).agg(F.count("*").alias("postings"), F.sum("tf").alias("words"))
+    """A new index of all documents, and what it holds."""
+    own = inverted.Index(t.spark, folder(t.spark)).add(t.documents, "doc_id", "text")
+    return own.postings().agg(F.count("*").alias("postings"), F.sum("tf").alias("words"))
