@@ -30,6 +30,10 @@ SCRIPTS = {
 SCRIPT_SHARE = 0.15
 #: Limits of the trust score.
 LEAST_WORDS, REPLACED, REPLACED_AT_LEAST, PRIVATE, CONTROL, LETTERS, MIXED, MIXED_AT_LEAST = 3, 0.005, 3, 0.01, 0.01, 0.50, 0.05, 2
+# Devanagari consonants, vowels and vowel signs, as parts of character classes.
+CONSONANTS = r"\x{0915}-\x{0939}\x{0958}-\x{095F}\x{0978}-\x{097F}"
+VOWELS = r"\x{0904}-\x{0914}\x{0960}\x{0961}\x{0972}"
+VOWEL_SIGNS = r"\x{093A}\x{093B}\x{093E}-\x{094C}\x{094E}\x{094F}\x{0962}\x{0963}"
 CHUNK_WORDS, CHUNK_OVERLAP, CHUNK_SENTENCES_BACK = 200, 30, 3
 #: Fixed value: where sentences end.
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Zऀ-ॿ])|\n{2,}"
@@ -112,7 +116,8 @@ def script(text: Column, share: float = SCRIPT_SHARE) -> Column:
 def trust(text: Column) -> Column:
     """struct(trusted, score, reasons): why extracted text may be broken, each reason worth a quarter.
 
-    Script interleaving counts words whose letters change script twice; marks out of order in Indic scripts are not judged.
+    Script interleaving counts words whose letters change script twice.  Devanagari marks are out of order where a vowel sign, virama or
+    nukta follows no consonant (a nukta may stand between), or a nasal mark or visarga follows no syllable.
     """
     solid = count_of(text, r"\S")
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
@@ -121,6 +126,9 @@ def trust(text: Column) -> Column:
     change = rf"[{latin}][^\p{{L}}]*[\p{{L}}&&[^{latin}]]|[{indic}&&\p{{L}}][^\p{{L}}]*[\p{{L}}&&[^{indic}]]|[{other}][^\p{{L}}]*[{latin}{indic}&&\p{{L}}]"
     twice = F.size(F.filter(words, lambda w: F.regexp_count(w, F.lit(f"(?={change})")) >= 2))
     ratio = lambda pattern: count_of(text, pattern) / solid
+    wrong = F.regexp_count(text, F.lit(f"(?<![{CONSONANTS}\\x{{093C}}])[{VOWEL_SIGNS}\\x{{094D}}]|(?<![{CONSONANTS}{VOWELS}{VOWEL_SIGNS}])[\\x{{0900}}-\\x{{0903}}]|(?<![{CONSONANTS}])\\x{{093C}}"))
+    marks = count_of(text, f"[{VOWEL_SIGNS}\\x{{094D}}\\x{{0900}}-\\x{{0903}}\\x{{093C}}]")
+    out_of_order = (count_of(text, f"[{indic}]") >= 10) & (marks > 0) & (wrong >= 2) & (wrong / marks > 0.05)
     reasons = [
         ("TOO_FEW_WORDS", F.size(words) < LEAST_WORDS),
         ("REPLACEMENT_CHARS", (count_of(text, "�") >= REPLACED_AT_LEAST) & (ratio("�") > REPLACED)),
@@ -128,6 +136,7 @@ def trust(text: Column) -> Column:
         ("CONTROL_CHARS", ratio(r"[\p{Cc}&&[^\s]]") > CONTROL),
         ("LOW_LETTER_RATIO", ratio(r"[\p{L}\p{Nd}]") < LETTERS),
         ("MIXED_SCRIPT_WORDS", (twice >= MIXED_AT_LEAST) & (twice / F.size(words) > MIXED)),
+        ("DEVANAGARI_ORDER", out_of_order),
     ]
     found = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in reasons]), lambda r: r.isNotNull())
     found = F.when(solid == 0, F.array(F.lit("BLANK"))).otherwise(found)
@@ -206,9 +215,9 @@ def content_hash(text: Column) -> Column:
 
 
 def digits_repaired(text: Column) -> Column:
-    """Letters that look like digits, between digits."""
-    for letter, digit in (("[Oo]", "0"), ("[Il]", "1"), ("S", "5"), ("B", "8")):
-        text = F.regexp_replace(text, rf"(?<=\d){letter}(?=\d)", digit)
+    """The Bengali digits that a reader takes for 8 and 0, put right unless they touch a letter."""
+    for wrong, right in (("০", "0"), ("৪", "8")):
+        text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{M}}]){wrong}(?![\p{{L}}\p{{M}}])", right)
     return text
 
 

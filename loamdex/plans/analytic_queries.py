@@ -242,7 +242,7 @@ def threshold_choice(t: Tables) -> DataFrame:
 
 
 @query(
-    "W15 W8",
+    "W15",
     """WITH r AS (SELECT user_id, ts, event_id, value > 30 AS f, row_number() OVER w AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), g AS (SELECT *, a - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r WHERE f)
     SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM g GROUP BY user_id, run""",
 )

@@ -419,7 +419,7 @@ def lead_within_gap_of_best(t: Tables) -> DataFrame:
 
 
 @query(
-    "W9 O8",
+    "W9",
     """SELECT CAST(floor((rn - 1) / 6) AS BIGINT) AS stretch, conv_id, min(turn) AS first_turn, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rn FROM conversations) GROUP BY 1, 2""",
 )
 def stretches_of_six(t: Tables) -> DataFrame:
@@ -505,7 +505,7 @@ def distinct_by_key(t: Tables) -> DataFrame:
 
 
 @query(
-    "W7 R32 T7",
+    "W7",
     """SELECT user_id, event_id, prev_id FROM (SELECT *, lag(event_id) OVER w AS prev_id, lag(ts) OVER w AS prev_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     WHERE prev_ts IS NOT NULL AND ts - prev_ts <= INTERVAL 6 HOUR""",
 )

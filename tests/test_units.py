@@ -160,7 +160,7 @@ def test_amounts():
 def test_operators_and_acronyms():
     p = reading.plan("type:pdf otp source:mail latest", now="2024-01-31")
     assert p.operators == {"type": "pdf", "source": "mail"} and p.words == "otp" and p.newest_first and p.limit == 1
-    assert "password" in reading.expanded("otp")
+    assert "Password" in reading.expanded("otp")
 
 
 def test_dates_and_amounts_read_from_text(spark):
