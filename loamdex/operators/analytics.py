@@ -23,11 +23,22 @@ def percentile_at(df: DataFrame, keys: Sequence[str], value: str, shares: Sequen
 
 
 def top_share(df: DataFrame, value: str, share: float, tie: str) -> DataFrame:
-    """The part of the total that the top ceil(share * n) rows hold."""
-    facts = df.agg(F.count("*").alias("_n"), F.sum(value).alias("_total"))
-    first = facts.first()
-    best = df.orderBy(F.desc(value), tie).limit(math.ceil(first["_n"] * share))
-    return best.agg(F.count("*").alias("rows"), (F.sum(value) / F.lit(first["_total"])).alias("concentration"))
+    """The part of the total that the top ceil(share * n) rows hold.
+
+    Counts and sums by value say at which value the top ends; only rows of that value are counted in part.  No row is sorted.
+    """
+    by = df.groupBy(value).agg(F.count("*").alias("_c"))
+    parts = by.withColumn("_r", F.floor(F.log2(F.abs(F.col(value)) + 1) * F.signum(F.col(value)) * 8).cast("int"))
+    ranges = parts.groupBy("_r").agg(F.sum("_c").alias("_rc"), F.sum(F.col("_c") * F.col(value)).alias("_rs"))
+    above = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, -1)  # some hundred ranges
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_rc").over(above), F.lit(0))).withColumn("_sum", F.coalesce(F.sum("_rs").over(above), F.lit(0)))
+    totals = df.agg(F.count("*").alias("_n"), F.sum(value).alias("_total"))
+    within = Window.partitionBy("_r").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    cut = ranges.crossJoin(F.broadcast(totals)).withColumn("_k", F.ceil(F.col("_n") * share)).where("_before < _k and _before + _rc >= _k")  # one range
+    inside = parts.join(F.broadcast(cut), "_r").withColumn("_b", F.col("_before") + F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    inside = inside.withColumn("_take", F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_k") - F.col("_b"))))
+    out = inside.groupBy("_k", "_total", "_sum").agg(F.sum(F.col("_take") * F.col(value)).alias("_in"))
+    return out.select(F.col("_k").cast("long").alias("rows"), ((F.col("_sum") + F.col("_in")) / F.col("_total")).alias("concentration"))
 
 
 def slices(df: DataFrame, members: Column, measures: dict[str, Column]) -> DataFrame:
@@ -128,3 +139,46 @@ def plan_costs(plans: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Of each item's feasible plans the one with the least weighted cost, ties to the first name."""
     score = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
     return plans.where("feasible").withColumn("score", score).groupBy("item").agg(F.min(F.struct("score", "family")).alias("b")).select("item", "b.family", "b.score")
+
+
+def fact_scores(found: DataFrame, truth: DataFrame, item: str) -> DataFrame:
+    """Per kind of fact how many found are right (precision) and how many true ones are found (recall); rows (item, kind, value), compared without case
+    and spaces."""
+    norm = lambda df: df.select(item, "kind", F.upper(F.regexp_replace(F.col("value").cast("string"), r"[\s-]", "")).alias("v")).distinct()
+    a, b = norm(found).withColumn("f", F.lit(1)), norm(truth).withColumn("t", F.lit(1))
+    both = a.join(b, [item, "kind", "v"], "full_outer").groupBy("kind").agg(F.count("f").alias("found"), F.count("t").alias("true"), F.count(F.when(F.col("f").isNotNull() & F.col("t").isNotNull(), 1)).alias("right"))
+    return both.select("kind", "found", "true", "right", (F.col("right") / F.nullif("found", F.lit(0))).alias("precision"), (F.col("right") / F.nullif("true", F.lit(0))).alias("recall"))
+
+
+def ablation(lines: DataFrame, item: str, reading: str, text: str) -> DataFrame:
+    """(item, reading, lost_lines, line_recall, char_recall) of an item's lines when a reading is left out: a line is kept if a line of another reading
+    holds it.
+
+    A line is compared with the lines of its own item that are as long at least and share its first word.
+    """
+    norm = F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " "))
+    rows = lines.select(item, reading, norm.alias("line")).where("line <> ''").distinct()
+    whole = rows.groupBy(item, "line").agg(F.collect_set(reading).alias("by"))  # readings of an item: a few
+    # every word of a line names it; a line that holds another has that one's first word
+    words = lambda df: df.select(item, F.explode(F.array_distinct(F.split("line", " "))).alias("word"), F.col("line").alias("holder"), reading)
+    held = whole.select(item, "line", F.substring_index("line", " ", 1).alias("word"))
+    # the first word may be the end of a longer one in the holder, so words are named by their ends
+    ends = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substr("word", i, F.length("word")))
+    holders = words(rows).withColumn("word", F.explode(ends))
+    # a line of one word may stand inside a word, at any place
+    single = whole.where(~F.contains("line", F.lit(" "))).select(item, "line").join(rows.select(item, reading, F.col("line").alias("holder")), item).where(F.contains("holder", F.col("line")))
+    pairs = held.where(F.contains("line", F.lit(" "))).join(holders, [item, "word"]).where(F.contains("holder", F.col("line"))).select(item, "line", reading)
+    kept_by = pairs.union(single.select(item, "line", reading)).distinct()
+    readings = rows.select(item, reading).distinct()
+    survive = kept_by.withColumnRenamed(reading, "_other").join(readings, item).where(F.col("_other") != F.col(reading)).select(item, "line", reading).distinct().withColumn("_kept", F.lit(1))
+    every = whole.select(item, "line").join(readings, item).join(survive, [item, "line", reading], "left")
+    out = every.groupBy(item, reading).agg(F.count(F.when(F.col("_kept").isNull(), 1)).alias("lost_lines"), F.count("*").alias("_n"), F.sum(F.length("line")).alias("_c"), F.sum(F.when(F.col("_kept").isNull(), F.length("line")).otherwise(0)).alias("_lc"))
+    return out.select(item, reading, "lost_lines", (100 * (F.col("_n") - F.col("lost_lines")) / F.col("_n")).alias("line_recall"), (100 * (F.col("_c") - F.col("_lc")) / F.col("_c")).alias("char_recall"))
+
+
+def best_setting(rows: DataFrame, settings: DataFrame, shown: Column, right: str, weight: float = 0.5) -> DataFrame:
+    """Of a few settings (broadcast) the one whose shown rows have the most right ones less ``weight`` times the wrong ones, as shares of all; ties to
+    the first by ``setting``."""
+    tried = rows.crossJoin(F.broadcast(settings)).withColumn("_shown", shown)
+    score = tried.groupBy(*settings.columns).agg((F.avg(F.when(F.col("_shown") & F.col(right), 1.0).otherwise(0.0)) - weight * F.avg(F.when(F.col("_shown") & ~F.col(right), 1.0).otherwise(0.0))).alias("objective"))
+    return score.withColumn("objective", F.round("objective", 9)).orderBy(F.desc("objective"), "setting").limit(1)

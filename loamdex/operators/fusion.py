@@ -95,3 +95,27 @@ def aliases(table: DataFrame, terms: Sequence[str], oldest: Column, least: float
     """The strongest learned stand-ins of each term."""
     w = Window.partitionBy("term").orderBy(F.desc("weight"), "stands_for")
     return table.where(F.col("term").isin(*terms) & (F.col("learned_at") >= oldest) & (F.col("weight") >= least)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+#: Seconds between two searches that may mean the same, what one such pair adds and the most it comes to, and words of a term at most.
+WITHIN_S, LEARNED, LEARNED_MOST, TERM_WORDS = 60.0, 0.5, 2.0, 4
+
+
+def learned(searches: DataFrame, user: str, at: str, query: str, opened: str, tie: str) -> DataFrame:
+    """(term, stands_for, weight, learned_at) from searches of a user in order: one that nothing was opened of, followed within WITHIN_S seconds by
+    another that something was, teaches that its words stand for the new words of the other.
+
+    A search said again at once counts as one.
+    """
+    w = Window.partitionBy(user).orderBy(at, tie)
+    said = F.trim(F.regexp_replace(F.lower(F.col(query)), r"\s+", " "))
+    rows = searches.withColumn("_q", said).where("_q <> ''").withColumn("_new", ~F.lag("_q").over(w).eqNullSafe(F.col("_q")))
+    rows = rows.withColumn("_run", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy(user, "_run", "_q").agg(F.min(at).alias("_first"), F.min(F.when(F.col(opened), F.col(at))).alias("_opened"))
+    order = Window.partitionBy(user).orderBy("_run")
+    pairs = runs.withColumn("_before", F.lag(F.struct("_q", "_first", "_opened")).over(order))
+    pairs = pairs.where("_opened is not null and _before._opened is null and _before._q is not null").where(F.col("_opened") - F.col("_before._first") <= WITHIN_S)
+    words = F.split("_before._q", " ")
+    new = F.filter(F.split("_q", " "), lambda x: ~F.array_contains(words, x))
+    pairs = pairs.where((F.size(words) <= TERM_WORDS) & (F.size(new) > 0)).select(F.col("_before._q").alias("term"), F.array_join(new, " ").alias("stands_for"), F.col("_opened").alias("at"))
+    return pairs.groupBy("term", "stands_for").agg(F.least(F.lit(LEARNED_MOST), F.count("*") * LEARNED).alias("weight"), F.max("at").alias("learned_at"))

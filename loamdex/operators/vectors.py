@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the gates.
 KEEP_STANDING, KEEP_MARGIN, GAP, SHOWN = 4.0, 0.06, 0.04, 10
 SMALL_ROWS, SMALL_LEAD, SMALL_MARGIN = 200, 0.05, -0.03
+#: Query vectors that are broadcast at once: 4 MB of 1,024 components.
+FEW = 512
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -39,8 +44,20 @@ def dequantized(packed: Column) -> Column:
 
 
 def scored(vectors: DataFrame, queries: DataFrame, measure=cosine) -> DataFrame:
-    """Every vector against each of a few query vectors (query_id, query), which are broadcast."""
-    return vectors.crossJoin(F.broadcast(queries)).withColumn("score", measure(F.col("embedding"), F.col("query")))
+    """Every vector against each of some query vectors (query_id, query).
+
+    Up to FEW queries are broadcast; more go in blocks of FEW against vectors dealt in parts, so nothing that grows is broadcast.
+    """
+    n = queries.count()
+    if n <= FEW:
+        both = vectors.crossJoin(F.broadcast(queries))
+    else:
+        blocks = -(-n // FEW)
+        parts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        asked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        rows = vectors.withColumn("_part", F.pmod(F.xxhash64(*vectors.columns[:1]), F.lit(parts)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        both = rows.join(asked, ["_block", "_part"]).drop("_block", "_part")
+    return both.withColumn("score", measure(F.col("embedding"), F.col("query")))
 
 
 def standing(df: DataFrame, score: str, key: str) -> DataFrame:
@@ -79,24 +96,30 @@ def sign_bits(a: Column, size: int = 64) -> Column:
     return F.aggregate(F.transform(F.slice(a, 1, size), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.lit(0).cast("long"), lambda t, b: F.shiftleft(t, 1) + b)
 
 
+#: Blocks that a signature is cut into: as wide as the number of rows asks for.
+WIDE = 16
+
+
 def near_signatures(df: DataFrame, key: str, bits: str, radius: int) -> DataFrame:
     """Pairs of rows (a < b) within ``radius`` bits.
 
-    64 bits are cut into radius + 1 blocks; pairs within the radius agree on one block at least, so they meet in an equi-join on (block, value) and
-    each pair is kept once, in the first block it shares.
+    64 bits are cut into four blocks of 16; two signatures within the radius agree up to radius // 4 bits in one block at least.  One side goes by its own
+    block values, the other by all values that near, so they meet in an equi-join on (block, value); each pair is kept in the first block that is near
+    enough.  Equal signatures are one until the end.
     """
-    blocks = radius + 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    value = lambda c, i: F.shiftrightunsigned(c, cuts[i]).bitwiseAND(F.lit(2 ** (cuts[i + 1] - cuts[i]) - 1))
-    parts = F.array(*[F.struct(F.lit(i).alias("block"), value(F.col(bits), i).alias("value")) for i in range(blocks)])
-    rows = df.select(F.col(key).alias("k"), F.col(bits).alias("s"), F.explode(parts).alias("p")).select("k", "s", "p.block", "p.value")
-    a, b = rows.toDF("a", "sa", "block", "value"), rows.toDF("b", "sb", "block", "value")
-    pairs = a.join(b, ["block", "value"]).where("a < b").withColumn("distance", F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))))
-    seen = None
-    for i in range(blocks):
-        earlier = (F.col("block") > i) & (value(F.col("sa"), i) == value(F.col("sb"), i))
-        seen = earlier if seen is None else seen | earlier
-    return pairs.where((F.col("distance") <= radius) & ~seen).select("a", "b", "distance")
+    blocks, most = 64 // WIDE, radius // (64 // WIDE)
+    masks = F.array(*[F.lit(sum(1 << i for i in picked)) for n in range(most + 1) for picked in combinations(range(WIDE), n)])
+    value = lambda c, i: F.shiftrightunsigned(c, WIDE * i).bitwiseAND(F.lit(2**WIDE - 1)).cast("int")
+    once = df.select(F.col(bits).alias("s")).distinct()
+    parts = F.array(*[F.struct(F.lit(i).alias("block"), value(F.col("s"), i).alias("value")) for i in range(blocks)])
+    own = once.select("s", F.explode(parts).alias("p")).select(F.col("s").alias("sa"), "p.block", "p.value")
+    near = own.select(F.col("sa").alias("sb"), "block", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+    met = own.join(near, ["block", "value"]).where("sa <= sb").withColumn("distance", F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))).where(F.col("distance") <= radius)
+    earlier = reduce(lambda x, y: x | y, [(F.col("block") > i) & (F.bit_count(value(F.col("sa"), i).bitwiseXOR(value(F.col("sb"), i))) <= most) for i in range(blocks)])
+    met = met.where(~earlier).select("sa", "sb", "distance")
+    a, b = df.select(F.col(key).alias("x"), F.col(bits).alias("sa")), df.select(F.col(key).alias("y"), F.col(bits).alias("sb"))
+    pairs = met.join(a, "sa").join(b, "sb").where((F.col("sa") != F.col("sb")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
 
 
 def mean_bits(a: Column) -> Column:
