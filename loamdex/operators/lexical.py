@@ -26,6 +26,16 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def indexed_text(text: Column, name: Column, tags: Column, item_type: Column, devanagari: Column) -> Column:
+    """R2: what an item is found by: its text, its name as written and cut at separators, tags, type, and the keys of Devanagari words; nulls and
+    empty parts are left out."""
+    from loamdex.functions.spelling import shadows
+
+    some = lambda c: F.when(F.trim(c) != "", c)
+    cut = F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}]+", " "))
+    return F.concat_ws(" ", some(text.cast("string")), some(name), some(cut), some(tags), some(item_type), some(F.array_join(shadows(devanagari), " ")))
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(term, id, tf)."""
     return docs.select(id_col, F.explode(words(F.col(text_col))).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))

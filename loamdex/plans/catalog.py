@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamdex.plans import analytic_queries, lexical_queries, relational_queries, source_queries, stream_queries, text_queries, vector_queries  # noqa: F401
+from loamdex.plans import analytic_queries, lexical_queries, relational_queries, source_queries, stream_queries, text_queries, upkeep_queries, vector_queries  # noqa: F401
 from loamdex.plans.registry import ENTRIES, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]

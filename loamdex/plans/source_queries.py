@@ -11,7 +11,7 @@ from loamdex.sources import files
 from loamdex.streaming.jobs import folder
 
 
-@query("S11 S15 T5", "SELECT conv_id || '.docx' AS path, 0 AS page, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
+@query("S11", "SELECT conv_id || '.docx' AS path, 0 AS page, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
 def word_files(t: Tables) -> DataFrame:
     rows = t.conversations.select("conv_id", "turn", F.regexp_replace("text", r"[\r\n]", " ").alias("text"))
     pages = files.pages_of(files.packed_docx(rows, "conv_id", "turn", "text"))
@@ -19,7 +19,7 @@ def word_files(t: Tables) -> DataFrame:
     return pages.select("path", "page", F.size(lines).cast("long").alias("turns"), (F.length("text") - F.size(lines) + 1).cast("long").alias("chars"))
 
 
-@query("S15 S18 K7 X53", "SELECT 'b' || item_id AS id, length(text) AS chars, 2 AS top_grade FROM benchmark")
+@query("S18 K7 X53", "SELECT 'b' || item_id AS id, length(text) AS chars, 2 AS top_grade FROM benchmark")
 def json_cases(t: Tables) -> DataFrame:
     cases = t.benchmark.select(
         F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.lit("exact").alias("slice"), F.col("text").alias("query"), F.lit("en").alias("lang"), F.create_map(F.col("item_id").cast("string"), F.lit(2), F.lit("other"), F.lit(1)).alias("relevant"), F.lit(False).alias("none")
@@ -57,7 +57,7 @@ def pdf_files(t: Tables) -> DataFrame:
     return files.pages_of(files.packed_pdf(rows, "n_nationkey", "lines")).select("path", "text")
 
 
-@query("T8 R4", r"SELECT count(*) AS postings, CAST(sum(tf) AS BIGINT) AS words FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2)")
+@query("T8", r"SELECT count(*) AS postings, CAST(sum(tf) AS BIGINT) AS words FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')) AS term FROM documents) GROUP BY 1, 2)")
 def keyword_index_fill(t: Tables) -> DataFrame:
     """A new index of all documents, and what it holds."""
     own = inverted.Index(t.spark, folder(t.spark)).add(t.documents, "doc_id", "text")

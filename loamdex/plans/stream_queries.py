@@ -13,14 +13,14 @@ def events(t: Tables) -> DataFrame:
     return jobs.source(t.spark, f"{t.folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("T1 T2", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
+@query("U6", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1")
 def stream_dedup(t: Tables) -> DataFrame:
     rows = jobs.run_available(jobs.without_repeats(events(t), ["event_id"], "ts", "60 days"), jobs.folder(t.spark))
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query(
-    "T6 W4",
+    "W4",
     """WITH g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 3 DAY THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session""",
 )
@@ -30,20 +30,11 @@ def stream_sessions(t: Tables) -> DataFrame:
     return rows.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n", F.round("total", 4).alias("total"))
 
 
-@query("T3 T9 T10", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
+@query("T3", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def stream_incremental_merge(t: Tables) -> DataFrame:
-    place = jobs.folder(t.spark)
-    sink = jobs.merged(place, ["user_id"], "event_id")
-    stream = events(t).select("user_id", "event_id")
-    jobs.run_available(stream, place, "append", sink)
-    return jobs.run_available(stream, place, "append", sink)  # nothing is new: the table stays
-
-
-@query("T4 T11", "SELECT user_id, count(*) AS done, max(event_id) AS last_id FROM events GROUP BY 1")
-def stream_progress(t: Tables) -> DataFrame:
-    place = jobs.folder(t.spark)
-    sink = jobs.merged(place, ["user_id"], "done")
-    return jobs.run_available(jobs.resumable_progress(events(t)), place, "update", sink).select("user_id", "done", "last_id")
+    place, stream = jobs.folder(t.spark), events(t).select("user_id", "event_id")
+    jobs.run_merged(stream, place, ["user_id"], "event_id")
+    return jobs.run_merged(stream, place, ["user_id"], "event_id")  # nothing is new: the table stays
 
 
 @query("T12", "SELECT count(*) AS n, round(sum(value), 4) AS total FROM events")

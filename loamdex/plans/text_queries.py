@@ -171,7 +171,11 @@ def strata(t: Tables) -> DataFrame:
     return t.documents.groupBy(kind.alias("stratum")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("X44")
+@query(
+    "X44",
+    """SELECT c_custkey, CASE WHEN h >= 9223372036854775808 THEN CAST(h - 18446744073709551616 AS BIGINT) ELSE CAST(h AS BIGINT) END AS seed FROM
+    (SELECT c_custkey, list_reduce(list_transform(string_split(c_name, ''), lambda c: CAST(ord(c) AS HUGEINT)), lambda h, c: (h * 31 + c) % 18446744073709551616) AS h FROM customer)""",
+)
 def stable_seeds(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", tx.seed64(F.col("c_name")).alias("seed"))
 

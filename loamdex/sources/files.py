@@ -133,6 +133,19 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CASES).json(path)
 
 
+CORPUS = "id string, kind string, lang string, pages array<string>, facts map<string,string>"
+
+
+def load_corpus(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """A corpus of JSON lines as the tables that searches run on: items, pages (from 1) and facts."""
+    rows = spark.read.schema(CORPUS).json(path)
+    return {
+        "items": rows.select("id", "kind", "lang"),
+        "pages": rows.select("id", F.posexplode("pages").alias("page", "text")).withColumn("page", F.col("page") + 1),
+        "facts": rows.select("id", F.explode("facts").alias("kind", "value")),
+    }
+
+
 def read_truth(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Tab-separated ground truth with a heading line."""
     return spark.read.schema(schema).option("sep", "\t").option("header", "true").csv(path)
@@ -169,6 +182,63 @@ def packed_docx(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
     return grouped.mapInPandas(pack, "path string, content binary")
 
 
+def _zipped(parts: dict[str, str]) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+    return buffer.getvalue()
+
+
+def made_xlsx(title: str, rows: list[tuple[int, str]]) -> bytes:
+    """A workbook that ``xlsx`` reads: a sheet of (number, name) under a heading, and a sheet with the title."""
+    from xml.sax.saxutils import escape
+
+    names = ["key", "name", *[n for _, n in rows]]
+    shared = "".join(f"<si><t>{escape(n)}</t></si>" for n in names)
+    cell = lambda i: f'<c t="s"><v>{i}</v></c>'
+    body = f"<row>{cell(0)}<c/>{cell(1)}</row>" + "".join(f"<row><c><v>{k}</v></c><c t='inlineStr'><is><t> </t></is></c>{cell(i + 2)}</row>" for i, (k, _) in enumerate(rows)) + "<row><c/></row>"
+    sheet = "<worksheet><sheetData>{}</sheetData></worksheet>".format
+    return _zipped(
+        {
+            "xl/workbook.xml": "<workbook><sheets><sheet name='Nations'/><sheet name='Region'/></sheets></workbook>",
+            "xl/sharedStrings.xml": f"<sst>{shared}</sst>",
+            "xl/worksheets/sheet1.xml": sheet(body),
+            "xl/worksheets/sheet2.xml": sheet(f"<row><c t='inlineStr'><is><t>{escape(title)}</t></is></c></row>"),
+        }
+    )
+
+
+def made_epub(chapters: list[tuple[int, str]]) -> bytes:
+    """A book that ``epub`` reads; its spine puts the chapters in falling order."""
+    from xml.sax.saxutils import escape
+
+    page = lambda k, name: f"<html><head><title>no</title></head><body><script>no()</script><h1>{escape(name)}</h1> &amp; its people,\n <p>no {k}</p></body></html>"
+    items = "".join(f'<item id="c{k}" href="t/c{k}.xhtml"/>' for k, _ in chapters)
+    spine = "".join(f'<itemref idref="c{k}"/>' for k, _ in sorted(chapters, reverse=True)) + '<itemref idref="none"/>'
+    parts = {"META-INF/container.xml": '<container><rootfiles><rootfile full-path="o/book.opf"/></rootfiles></container>', "o/book.opf": f"<package><manifest>{items}</manifest><spine>{spine}</spine></package>"}
+    return _zipped(parts | {f"o/t/c{k}.xhtml": page(k, name) for k, name in chapters})
+
+
+def _packed(df: DataFrame, key: str, number: str, name: str, ending: str, made: Callable) -> DataFrame:
+    """(path, content): one file per key, of its (number, name) rows in order; a file's rows are one task's."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"path": [f"{k}.{ending}" for k in b["k"]], "content": [made(k, [(int(x["n"]), x["s"]) for x in rows]) for k, rows in zip(b["k"], b["rows"])]})
+
+    one = F.struct(F.col(number).cast("long").alias("n"), F.col(name).alias("s"))
+    return df.groupBy(F.col(key).alias("k")).agg(F.array_sort(F.collect_list(one)).alias("rows")).mapInPandas(pack, "path string, content binary")
+
+
+def packed_xlsx(df: DataFrame, key: str, number: str, name: str) -> DataFrame:
+    return _packed(df, key, number, name, "xlsx", made_xlsx)
+
+
+def packed_epub(df: DataFrame, key: str, number: str, name: str) -> DataFrame:
+    return _packed(df, key, number, name, "epub", lambda _, rows: made_epub(rows))
+
+
 def made_pdf(lines: list[str]) -> bytes:
     """A one-page PDF with a compressed text layer that ``pdf`` reads."""
     said = b" T* ".join(b"(" + re.sub(rb"([()\\])", rb"\\\1", line.encode("latin-1", "replace")) + b") Tj" for line in lines)
