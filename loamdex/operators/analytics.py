@@ -106,17 +106,27 @@ def mcnemar(only_a: int, only_b: int) -> float:
     return min(1.0, 2 * tail)
 
 
-def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, steps: int = 50, non_negative: bool = False) -> np.ndarray:
-    """Intercept and weights by Newton's method; with ``non_negative``, weights below zero are set to zero after each step."""
+def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1e-3, steps: int = 200, non_negative: bool = False) -> np.ndarray:
+    """Intercept and weights by Newton's method; with ``non_negative`` no weight is below zero: those that want to be are held at zero, and the
+    others are solved for again until none changes sides."""
     x = np.column_stack([np.ones(len(features)), features])
-    w = np.zeros(x.shape[1])
+    w, held = np.zeros(x.shape[1]), np.zeros(x.shape[1], bool)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-x @ w))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (labels - p) - ridge * w)
-        w = w + step
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        slope = x.T @ (labels - p) - ridge * w
         if non_negative:
-            w[1:] = np.maximum(w[1:], 0)
-        if np.abs(step).max() < 1e-9:
+            held[1:] = (w[1:] <= 0) & (slope[1:] <= 0)
+        free = np.flatnonzero(~held)
+        own = x[:, free]
+        step = np.linalg.solve((own * (p * (1 - p))[:, None]).T @ own + ridge * np.eye(len(free)), slope[free])
+        if non_negative:  # no further than to the first weight that meets zero
+            down = np.flatnonzero((free > 0) & (step < 0) & (w[free] > 0))
+            reach = np.min(-w[free][down] / step[down], initial=1.0)
+            step = step * reach
+            step[(free > 0) & (w[free] <= 0) & (step < 0)] = 0
+        w[free] += step
+        w[1:] = np.where(non_negative & (np.abs(w[1:]) < 1e-12), 0, w[1:])
+        if np.abs(step).max(initial=0) < 1e-10:
             break
     return w
 

@@ -162,7 +162,7 @@ def pass_reductions(t: Tables) -> DataFrame:
 
 
 @query(
-    "A35 X52",
+    "A35",
     """SELECT code, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NULL THEN 'NO_LABEL' WHEN toxic = 1 THEN 'TOXIC' WHEN quality = 0 THEN 'LOW' ELSE 'READY' END AS code FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) GROUP BY 1""",
 )
 def readiness_audit(t: Tables) -> DataFrame:
@@ -206,7 +206,7 @@ def character_errors(t: Tables) -> DataFrame:
 
 
 @query(
-    "X35 J16 X36",
+    "X35 J16",
     """WITH m AS (SELECT c_nationkey AS section, avg(c_acctbal) FILTER (c_custkey % 2 = 0) AS base, avg(c_acctbal) FILTER (c_custkey % 2 = 1) AS value FROM customer GROUP BY 1)
     SELECT section, CASE WHEN base IS NULL OR value IS NULL THEN 'NOT_COMPARABLE' WHEN abs(value - base) / abs(base) * 100 <= 5 THEN 'UNCHANGED' WHEN value > base THEN 'IMPROVED' ELSE 'REGRESSED' END AS verdict FROM m""",
 )
@@ -222,16 +222,48 @@ def significance(t: Tables) -> DataFrame:
     return pairs.withColumn("p", F.round(F.lit(an.mcnemar(row["a"], row["b"])), 6))
 
 
-@query("X31 X32")
+#: Rows that a model is fitted on at most; those with the smallest hashes.
+FIT_ROWS = 20_000
+
+
+def _sample(rows: DataFrame) -> DataFrame:
+    return rows.orderBy(F.md5(F.concat(F.lit("fit"), F.col("doc_id").cast("string"))), "doc_id").limit(FIT_ROWS)
+
+
+@query("X31")
 def logistic_calibration(t: Tables) -> DataFrame:
-    """Fit on the half of labels whose hash is even (20,000 at most), score the other half."""
+    """Fit on the half of labels whose hash is even (a hash sample of FIT_ROWS at most), score the other half."""
     rows = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id").withColumn("half", F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % 2)
-    fit = rows.where("half = 0").orderBy("doc_id").limit(20_000).toPandas()
+    fit = _sample(rows.where("half = 0")).toPandas()
     w = an.logistic(fit[["n_chars"]].to_numpy() / 1000, fit["quality"].to_numpy())
     chance = 1 / (1 + F.exp(-(F.lit(float(w[0])) + float(w[1]) * F.col("n_chars") / 1000)))
     return rows.where("half = 1").select("doc_id", "quality", F.round(chance, 6).alias("chance"))
 
 
+#: What a ranker's features are made of.
+RANKED_WORDS = ("license", "public", "version", "terms")
+
+
+def ranker_features(t: Tables) -> DataFrame:
+    """(doc_id, quality, phrase, share, run, short): whether a text has the phrase, its share of the words, the run of words in order, and shortness."""
+    from loamdex.operators import lexical as lex
+
+    low = F.lower("text")
+    said = sum((F.when(F.contains(low, F.lit(w)), 1.0).otherwise(0.0) for w in RANKED_WORDS), F.lit(0.0))
+    run = lex.longest_run(F.col("text"), RANKED_WORDS)
+    docs = t.documents.where("text is not null").select("doc_id", F.contains(low, F.lit("public license")).cast("double").alias("phrase"), (said / len(RANKED_WORDS)).alias("share"), (F.greatest(run - 1, F.lit(0)) / (len(RANKED_WORDS) - 1)).alias("run"), (1000 / (1000 + F.length("text"))).alias("short"))
+    return docs.join(t.labels.select("doc_id", "quality"), "doc_id")
+
+
+@query("X32")
+def ranker_weights(t: Tables) -> DataFrame:
+    """Weights of a ranker's features, none below zero, fitted on a hash sample of FIT_ROWS at most."""
+    names = ["phrase", "share", "run", "short"]
+    fit = _sample(ranker_features(t)).toPandas()
+    w = an.logistic(fit[names].to_numpy(), fit["quality"].to_numpy(), non_negative=True)
+    return t.spark.createDataFrame([(n, float(x)) for n, x in zip(["base", *names], w, strict=True)], "feature string, weight double")
+
+
 @query(
     "X48",
     "SELECT cut, n, round(precision, 6) AS precision, n >= 10 AND precision >= 0.95 AS sure FROM (SELECT cut, count(*) AS n, avg(CAST(l_returnflag <> 'R' AS INT)) AS precision FROM lineitem, (VALUES (10.0), (25.0), (40.0), (49.0)) c(cut) WHERE l_quantity >= cut GROUP BY 1)",

@@ -291,7 +291,7 @@ def semi_join_vectors(t: Tables) -> DataFrame:
 
 
 @query(
-    "J10 X52",
+    "J10",
     f"""WITH {EAV} SELECT CASE e.type WHEN 'AMOUNT' THEN 'amount' WHEN 'DATE' THEN 'date' WHEN 'ORGANIZATION' THEN 'party' END AS kind, o_orderstatus AS status, count(*) AS n
     FROM eav e JOIN orders ON o_orderkey = item_id GROUP BY 1, 2""",
 )

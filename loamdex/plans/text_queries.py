@@ -131,7 +131,7 @@ def mask_cards(t: Tables) -> DataFrame:
     return rows.select("doc_id", ((F.length("m") - F.length(F.replace("m", F.lit(tx.HIDDEN), F.lit("")))) / len(tx.HIDDEN)).cast("long").alias("hidden"))
 
 
-@query("X19 X46", r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')
+@query("X19", r"""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\.', '') || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')
     || CASE WHEN len(k) > 0 THEN '?' || array_to_string(k, '&') ELSE '' END AS url FROM (SELECT page_id, url, list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT list_contains(['utm_source', 'utm_medium', 'ref'], lower(split_part(p, '=', 1))))) AS k FROM pages)""")
 def url_normalize(t: Tables) -> DataFrame:
     return t.pages.select("page_id", tx.normal_url(F.col("url")).alias("url"))
