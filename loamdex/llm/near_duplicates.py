@@ -352,7 +352,7 @@ def _id_of(node: Column) -> Column:
 
 
 def _closed(shared: DataFrame, links: DataFrame, of_class: DataFrame, percent: int, place: str) -> DataFrame:
-    """Components over ``links`` and all links inside the buckets of ``shared`` (bucket, node, n, size).
+    """Components over ``links`` and all links inside the buckets of ``shared`` (bucket, node, n, head; the head has met all others).
 
     Rounds as told at the top; of_class: (node, registers, members).
     """
@@ -361,7 +361,8 @@ def _closed(shared: DataFrame, links: DataFrame, of_class: DataFrame, percent: i
     while True:
         of_node = comps.select(F.col("id").alias("node"), "component")
         labelled = shared.join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        waiting = labelled.join(done, ["bucket", "node"], "left_anti") if done is not None else labelled
+        waiting = labelled.where("node <> head")
+        waiting = waiting.join(done, ["bucket", "node"], "left_anti") if done is not None else waiting
         counts = waiting.groupBy("bucket", "component").agg(F.count("*").alias("rows"))
         open_ = counts.groupBy("bucket").agg(F.max(F.struct("rows", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
         open_ = written(open_.select("bucket", F.col("most.component").alias("common")), "open", place)
@@ -405,8 +406,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = sketch.where("n > 0").groupBy("digest").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.select("digest", _node(F.col("rep.id"), F.col("digest")).alias("node"), "n", "bands", "rep.id", "rep.text_md5"), "classes", place)
     buckets = classes.select(F.explode("bands").alias("bucket"), "node", "n")
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = written(buckets.join(sizes, "bucket").drop("size"), "buckets", place)
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1")
+    sizes = sizes.select("bucket", "head")
+    shared = written(buckets.join(sizes, "bucket"), "buckets", place)
     # registers and full sets of what shares a bucket; the sets are worked out again from the texts
     wanted = classes.join(shared.select("node").distinct(), "node", "left_semi").select("digest", "node", F.col("id").alias("rep_id"), F.col("text_md5").alias("rep_md5"))
     wanted = written(wanted, "wanted", place)
@@ -415,8 +417,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     regs = sketch.withColumnRenamed("digest", "own").join(wanted, of_rep & (F.col("own") == F.col("digest"))).select("digest", "node", "registers").dropDuplicates(["digest"])
     of_class = written(regs.join(sets, "digest").select("node", "registers", "members"), "sets", place)
     # each class with its bucket's smallest
-    heads = shared.groupBy("bucket").agg(F.min("node").alias("a"))
-    stars = shared.join(heads, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    stars = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = written(stars, "stars", place)
     side = lambda c, *what: of_class.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in what])
     counts = classes.select("node", "n")
