@@ -63,14 +63,19 @@ def scored(vectors: DataFrame, queries: DataFrame, measure=cosine) -> DataFrame:
 def standing(df: DataFrame, score: str, key: str) -> DataFrame:
     """The score's distance from the mean of its query, in standard deviations; aggregated, then joined back."""
     stats = df.groupBy(key).agg(F.avg(score).alias("_mean"), F.stddev_pop(score).alias("_std"), F.count("*").alias("scanned"))
-    return df.join(F.broadcast(stats), key).withColumn("standing", (F.col(score) - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")
+    return df.join(stats, key).withColumn("standing", (F.col(score) - F.col("_mean")) / F.col("_std")).drop("_mean", "_std")
 
 
 def margin(df: DataFrame, anchors: DataFrame, vector: str, score: str) -> DataFrame:
-    """The score less the best similarity to any anchor; anchors (a few) travel as one array."""
-    packed = anchors.agg(F.collect_list("anchor").alias("_anchors"))
-    best = F.array_max(F.transform("_anchors", lambda a: dot(F.col(vector), a)))
-    return df.crossJoin(F.broadcast(packed)).withColumn("margin", F.col(score) - best).drop("_anchors")
+    """The score less the best similarity to any anchor; anchors travel as arrays of FEW, one after another."""
+    blocks = max(1, -(-anchors.count() // FEW))
+    dealt = anchors.select("anchor", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("_block"))
+    df = df.withColumn("_best", F.lit(None).cast("double"))
+    for b in range(blocks):
+        packed = dealt.where(F.col("_block") == b).agg(F.collect_list("anchor").alias("_anchors"))
+        best = F.array_max(F.transform("_anchors", lambda a: dot(F.col(vector), a)))
+        df = df.crossJoin(F.broadcast(packed)).withColumn("_best", F.greatest("_best", best)).drop("_anchors")
+    return df.withColumn("margin", F.col(score) - F.col("_best")).drop("_best")
 
 
 def within_gap(df: DataFrame, key: str, score: str, gap: float) -> DataFrame:
