@@ -14,8 +14,8 @@ At a similarity of 0.8 two fingerprints differ in 9.7 bits on average, with a st
 these above that.
 
 Equal items are one item; the result names each.  The documents are read once: a bit table of all items' shingles (at
-most 2**FILTER_BITS bits, whatever the size of the benchmark) tells which documents hold as many of them as the
-shortest item needs, and only these are written and compared.  Items are then dealt in blocks of at most ITEM_BYTES of
+most 2**FILTER_BITS bits, whatever the size of the benchmark) tells which documents hold, in a window as long as the
+longest item, as many of them as the shortest item needs, and only these are written and compared.  Items are then dealt in blocks of at most ITEM_BYTES of
 text (a longer item is a block of its own); each block is broadcast, compared with the written documents and freed
 before the next.
 
@@ -41,8 +41,8 @@ from loamdex.llm.work import removed, shared_dir, written
 
 RADIUS, BLOCKS = 19, 4
 ITEM_BYTES = 8 << 20
-#: Bits of the table of shingles: 32 for each shingle of the items, but no more than 2**FILTER_BITS.
-FILTER_BITS = 27
+#: Bits of the table of shingles: SPARSE for each shingle of the items, but no more than 2**FILTER_BITS.
+FILTER_BITS, SPARSE = 27, 4096
 SCHEMA = "doc long, item string, similarity double, start_word long, n_words int, start_byte long, passage string, text_md5 string"
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -222,26 +222,26 @@ def _item_shingles(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def _measured(k: int):
-    """Items' texts -> a task's count of shingles, sizes of shingles that occur, and the fewest shingles of an item by that size."""
+    """Items' texts -> a task's sizes of shingles that occur, with the fewest and most shingles of an item, and those of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[int, int]] = {}
+        found: dict[int, tuple[int, int, int]] = {}
         for whole in batches:
             for batch in slices(whole, 0):
                 _, begins, _, _ = word_numbers(batch.column(0))
                 for n in np.diff(begins).tolist():
                     if n:
                         size, many = min(k, n), n - min(k, n) + 1
-                        least, total = found.get(size, (many, 0))
-                        found[size] = (min(least, many), total + many)
+                        least, most, total = found.get(size, (many, many, 0))
+                        found[size] = (min(least, many), max(most, many), total + many)
         if found:
-            yield pa.RecordBatch.from_pydict({"size": pa.array(list(found), pa.int32()), "least": pa.array([a for a, _ in found.values()], pa.int64()), "total": pa.array([b for _, b in found.values()], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"size": pa.array(list(found), pa.int32()), **{name: pa.array([x[i] for x in found.values()], pa.int64()) for i, name in enumerate(("least", "most", "total"))}})
 
     return run
 
 
-def _suspects(table, bits: int, needed: dict[int, int]):
-    """(doc, text, text_md5) -> the rows that hold at least as many marked shingles as some item needs."""
+def _suspects(table, bits: int, needed: dict[int, tuple[int, int]]):
+    """(doc, text, text_md5) -> the rows in which some window holds as many marked shingles as some item needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks: np.ndarray = table.value
@@ -249,12 +249,14 @@ def _suspects(table, bits: int, needed: dict[int, int]):
             for batch in slices(whole, 1):
                 numbers, begins, _, _ = word_numbers(batch.column(1))
                 keep = np.zeros(batch.num_rows, bool)
-                for k, least in needed.items():
+                for k, (least, most) in needed.items():
                     shingles, at = shingle_numbers(numbers, begins, k)
                     place = shingles & np.uint64(bits - 1)
                     hit = marks[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & np.uint8(1)
-                    counts = np.diff(np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])[at])
-                    keep |= (counts >= least) & (np.diff(begins) >= k)
+                    until = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
+                    ends = np.minimum(np.arange(len(hit)) + most, np.repeat(at[1:], np.diff(at)))
+                    rows = np.repeat(np.arange(batch.num_rows), np.diff(at))[until[ends] - until[:-1] >= least]
+                    keep[rows] |= (np.diff(begins) >= k)[rows]
                 if keep.any():
                     yield batch.filter(pa.array(keep))
 
@@ -269,10 +271,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     named = items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     named = named.select("id", "text", F.md5("text").alias("name"))
     once = written(named.groupBy("name").agg(F.first("text").alias("text")), "items", place)
-    sizes = once.select("text").mapInArrow(_measured(words), "size int, least long, total long").groupBy("size").agg(F.min("least").alias("least"), F.sum("total").alias("total")).collect()
+    sizes = once.select("text").mapInArrow(_measured(words), "size int, least long, most long, total long").groupBy("size").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.sum("total").alias("total")).collect()
     # so many of an item's shingles stand in any window, or shorter document, that reaches the similarity
-    needed = {r["size"]: max(1, math.ceil(percent * r["least"] / 100 - 1e-9)) for r in sizes}
-    bits = 1 << min(FILTER_BITS, max(16, (32 * sum(r["total"] for r in sizes)).bit_length()))
+    needed = {r["size"]: (max(1, math.ceil(percent * r["least"] / 100 - 1e-9)), r["most"]) for r in sizes}
+    bits = 1 << min(FILTER_BITS, max(16, (SPARSE * sum(r["total"] for r in sizes)).bit_length()))
     table = np.zeros(bits // 8, np.uint8)
     width = min(bits, 1 << 20) // 8
     for r in once.select("text").mapInArrow(_marked(words, bits), "part int, bits binary").groupBy("part").applyInArrow(_joined, "part int, bits binary").collect():
