@@ -33,7 +33,7 @@ SHARD, QUERIES = 8192, 2048
 WAYS, MOST, MOST_BYTES = 64, 1 << 17, 256 << 20
 #: Out-degree after pruning and before it, beam of builds and of searches, slack of pruning.
 DEGREE, ROOM, BUILD_BEAM, BEAM, ALPHA = 32, 48, 64, 96, 1.2
-BATCH = 512
+BATCH, MARKS = 512, 1 << 27
 #: The longest vectors of a shard at which searches start besides its middle.
 STARTS = 31
 
@@ -196,10 +196,12 @@ def _search(k: int):
         points, out = lifted(vectors / scale), []
         longest = np.maximum(np.abs(wanted).max(1, keepdims=True), 1e-30)
         flat = np.concatenate([wanted / longest, np.zeros((len(wanted), 1))], 1).astype(np.float32)
-        for lo in range(0, len(gid), 1024):
-            near, _ = _beam(points, graph, starts, flat[lo : lo + 1024], max(BEAM, k + 1))
-            near = near[:, : max(BEAM, k + 1)]
-            for g, w, found in zip(gid[lo : lo + 1024], wanted[lo : lo + 1024], near, strict=True):
+        # larger shards take a wider beam, and as many queries at once as the marks of what was seen allow
+        width = max(round(BEAM * max(1.0, len(vectors) / 8192) ** 0.25), k + 1)
+        step = max(64, min(1024, MARKS // len(vectors)))
+        for lo in range(0, len(gid), step):
+            near, _ = _beam(points, graph, starts, flat[lo : lo + step], width)
+            for g, w, found in zip(gid[lo : lo + step], wanted[lo : lo + step], near, strict=True):
                 found = found[found >= 0]
                 with np.errstate(over="ignore", invalid="ignore"):
                     score = (vectors[found] * w).sum(1)
