@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,17 @@ def test_pages_bring_their_own_evidence(spark, small):
     assert spark.createDataFrame([(late,)], "h string").select(lg.declared_language(F.col("h"))).first()[0] == "es"
 
 
+def test_long_texts_repeated_rows_and_ties(spark):
+    model = lg.trained(spark.createDataFrame(labelled(spark, 120), "doc_id long, text string, lang string, source string"), id_col="doc_id", text_col="text", label_col="lang")
+    flat = np.full_like(model, -9.0)
+    rows = [(1, (TEXTS["de"] + " ") * 40_000, "x"), (2, TEXTS["fr"], "x"), (2, TEXTS["fr"], "x"), (2, TEXTS["es"], "x"), (None, TEXTS["en"], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, host string").withColumn("confidence", F.lit("clash"))
+    got = sorted((r.doc_id or 0, r.language, r.accepted) for r in lg.identified(df, host=F.col("host"), model=model).collect())
+    assert got == [(0, "en", True), (1, "de", True), (2, "es", True), (2, "fr", True), (2, "fr", True)]
+    # of equal evidence the earlier language wins
+    assert {r.by_text for r in lg.identified(df, model=flat).collect()} == {lg.LANGUAGES[0]}
+
+
 def test_a_hot_repeated_id_stays_one_sample(spark):
     rows = [(1, "the same text over and over", "en")] * 3000 + [(1, f"text number {i} of the same id", "en") for i in range(300)] + [(i, f"ein text {i}", "de") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -218,6 +230,22 @@ def test_counts_as_the_tokenizer_does(spark, small):
     assert tc.token_counts(docs.limit(0), pieces).count() == 0
 
 
+def test_side_by_side_is_as_one_by_one():
+    """Pieces of all lengths in lockstep against the same pieces alone, with many ties."""
+    rng = random.Random(11)
+    for _ in range(30):
+        vocabulary_ = [("a", -1.0), ("b", -2.0), (tc.BLANK, -1.0), *{"".join(rng.choice("ab▁") for _ in range(rng.randint(2, 5))): float(-rng.randint(1, 4)) for _ in range(12)}.items()]
+        fallback = rng.random() < 0.5
+        vocabulary_ += [(f"<0x{b:02X}>", -9.0) for b in range(256)] * fallback
+        counter = tc.Counter(vocabulary_, byte_fallback=fallback)
+        pieces = ["".join(rng.choice("aab▁\né日c" if rng.random() < 0.1 else "aab▁") for _ in range(rng.choice([1, 2, 3, 7, 20, 200]))) for _ in range(150)]
+        good, n, score = counter.lockstep.count(pieces)
+        for p, g in zip(pieces, good):
+            assert g == (all(c in "ab▁" or fallback and c not in "<>0123456789xABCDEF" for c in p))
+        for p, g, a, b in zip(pieces, good, n, score):
+            assert not g or (a, b) == counter.count(p)
+
+
 def test_ties_and_unknown_runs():
     """Few scores, so that ties are common; with and without byte pieces."""
     rng = random.Random(8)
