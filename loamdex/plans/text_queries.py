@@ -530,15 +530,18 @@ def shadow_runs(t: Tables) -> DataFrame:
 
 @query(
     "X39",
-    """WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS s FROM orders), k AS (SELECT o_orderkey, s, list_filter(range(1, length(s) + 1), lambda i: s[i] <> '0' AND (i = 1 OR s[i] <> s[i - 1])) AS spots FROM o)
-    SELECT o_orderkey, array_to_string(list_transform(spots, lambda i: chr(96 + CAST(s[i] AS INT))), '') AS text, round(coalesce(list_sum(list_transform(spots, lambda i: (10.0 + CAST(s[i] AS INT)) / 20)) / len(spots), 0), 6) AS confidence FROM k""",
+    """WITH o AS (SELECT o_orderkey, CAST(o_orderkey * 9973 AS VARCHAR) AS s FROM orders), k AS (SELECT o_orderkey, s, list_filter(range(1, length(s) + 1), lambda i: s[i] <> '0' AND (i = 1 OR s[i] <> s[i - 1])) AS spots FROM o),
+    u AS (SELECT o_orderkey, unnest(spots) AS i, s FROM k), d AS (SELECT o_orderkey, i, s[i] AS d, (10.0 + CAST(s[i] AS INT)) / 20 AS score, sum(CASE WHEN s[i] = '9' THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderkey ORDER BY i) AS word FROM u),
+    w AS (SELECT o_orderkey, min(m) AS weakest FROM (SELECT o_orderkey, word, avg(score) AS m FROM d WHERE d <> '9' GROUP BY 1, 2) GROUP BY 1)
+    SELECT k.o_orderkey, array_to_string(list_transform(spots, lambda i: CASE WHEN s[i] = '9' THEN ' ' ELSE chr(96 + CAST(s[i] AS INT)) END), '') AS text, round(coalesce(list_sum(list_transform(spots, lambda i: (10.0 + CAST(s[i] AS INT)) / 20)) / len(spots), 0), 6) AS confidence,
+    round(coalesce(weakest, 0), 6) AS weakest FROM k LEFT JOIN w ON w.o_orderkey = k.o_orderkey""",
 )
 def reader_steps(t: Tables) -> DataFrame:
-    """The digits of each order's key as a reader's classes, 0 the blank one."""
-    best = F.transform(F.split(F.col("o_orderkey").cast("string"), r"(?!^)(?!\z)"), lambda c: c.cast("int"))
-    letters = F.array(*[F.lit(chr(96 + i)) for i in range(1, 10)])
+    """The digits of each order's key, times 9973, as a reader's classes: 0 the blank one, 9 a blank of the text."""
+    best = F.transform(F.split((F.col("o_orderkey") * 9973).cast("string"), r"(?!^)(?!\z)"), lambda c: c.cast("int"))
+    letters = F.array(*[F.lit(" " if i == 9 else chr(96 + i)) for i in range(1, 10)])
     rows = t.orders.select("o_orderkey", sp.ctc_text(best, F.transform(best, lambda c: (c + 10) / F.lit(20.0)), letters).alias("r"))
-    return rows.select("o_orderkey", "r.text", F.round("r.confidence", 6).alias("confidence"))
+    return rows.select("o_orderkey", "r.text", F.round("r.confidence", 6).alias("confidence"), F.round("r.weakest", 6).alias("weakest"))
 
 
 @query("X34 X37")
