@@ -294,7 +294,7 @@ def cheapest_plan(t: Tables) -> DataFrame:
     return an.plan_costs(plans, {"latency": 0.7, "risk": 2.0}).withColumn("score", F.round("score", 6))
 
 
-@query("X51 X50", "SELECT conv_id, CASE WHEN shared >= 0.25 AND turns <= 8 THEN 'new' ELSE 'old' END AS chosen FROM (SELECT conv_id, count(DISTINCT role) / count(*) AS shared, count(*) AS turns FROM conversations GROUP BY 1)")
+@query("X51", "SELECT conv_id, CASE WHEN shared >= 0.25 AND turns <= 8 THEN 'new' ELSE 'old' END AS chosen FROM (SELECT conv_id, count(DISTINCT role) / count(*) AS shared, count(*) AS turns FROM conversations GROUP BY 1)")
 def route_choice(t: Tables) -> DataFrame:
     rows = t.conversations.groupBy("conv_id").agg((F.countDistinct("role") / F.count("*")).alias("shared"), F.count("*").alias("turns"))
     return rows.select("conv_id", F.when((F.col("shared") >= 0.25) & (F.col("turns") <= 8), "new").otherwise("old").alias("chosen"))

@@ -43,6 +43,12 @@ def report_files(t: Tables) -> DataFrame:
     return t.spark.read.schema("n_regionkey int, n long").json(places["json"])
 
 
+@query("K7", "SELECT '| n_regionkey | n |' AS line UNION ALL SELECT '|-|-|' UNION ALL SELECT '| ' || n_regionkey || ' | ' || count(*) || ' |' FROM nation GROUP BY n_regionkey")
+def markdown_report(t: Tables) -> DataFrame:
+    report = t.nation.groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    return t.spark.read.text(files.write_report(report, folder(t.spark))["md"]).select(F.col("value").alias("line"))
+
+
 @query("S12", "SELECT n_regionkey, 'Sheet: nations' || chr(10) || string_agg(n_nationkey || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY 1")
 def sheet_texts(t: Tables) -> DataFrame:
     from loamdex.functions.text import sheet_text

@@ -554,6 +554,6 @@ def merged_readings(t: Tables) -> DataFrame:
     return sp.merged_readings(readings, "conv_id", "reading", "turn", "text").groupBy("conv_id").agg(F.count("*").alias("lines"), F.max("seen_by").alias("most"))
 
 
-@query("R35 S7")
+@query("R35")
 def direct_answers(t: Tables) -> DataFrame:
     return an.answers(t.documents, "doc_id", "text", "which version of the general public license").orderBy(F.desc("words"), "doc_id").limit(20)

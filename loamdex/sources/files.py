@@ -152,10 +152,15 @@ def read_truth(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_report(df: DataFrame, folder: str) -> dict[str, str]:
-    """K7: a report as JSON lines and as CSV; the folders written."""
-    out = {"json": f"{folder}/json", "csv": f"{folder}/csv"}
+    """K7: a report as JSON lines, as CSV and as the rows of a Markdown table under its head; the folders written."""
+    out = {"json": f"{folder}/json", "csv": f"{folder}/csv", "md": f"{folder}/md"}
     df.write.mode("overwrite").json(out["json"])
     df.write.mode("overwrite").option("header", "true").csv(out["csv"])
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\\|\|", r"\\$0"), r"\s*\n\s*", " ")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(0, f"| {' | '.join(df.columns)} |"), (1, "|" + "-|" * len(df.columns))], "n int, value string")
+    rows = head.unionByName(df.select(F.lit(2).alias("n"), line.alias("value")))
+    rows.repartitionByRange(1, "n").sortWithinPartitions("n", "value").select("value").write.mode("overwrite").text(out["md"])  # a report is read by people
     return out
 
 

@@ -92,6 +92,18 @@ def test_merged_readings_keep_what_most_readings_have(spark, t):
     assert whole.keys() == said and all(r.lines >= 1 and 1 <= r.most <= 3 for r in whole.values())
 
 
+def test_misread_texts(spark):
+    from loamdex.functions import spelling as sp
+
+    said = "Only 50 of the Bees come to see B0le in Oslo; all lose. " * 40
+    df = spark.createDataFrame([(1, said), (2, said), (3, None), (4, "")], "id long, t string")
+    got = {r.id: r.x for r in df.select("id", sp.misread(df.t, df.id, 10).alias("x")).collect()}
+    assert got[1] != got[2] and got[3] is None and got[4] == ""
+    for x in (got[1], got[2]):
+        swaps = [(a, b) for a, b in zip(said, x, strict=True) if a != b]
+        assert set(swaps) <= set(zip("oOlI5Be0", "0O1l$8co")) and 0.2 < len(swaps) / (sum(c in "olI5Be0" for c in said) / 10) < 3
+
+
 def test_direct_answers(t):
     question = "which version of the general public license"
     about = answers.about_words(question)
