@@ -56,13 +56,13 @@ def stream_progress(t: Tables) -> DataFrame:
 
 @query(
     "T5",
-    "SELECT user_id, page, page AS turn FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page FROM events) WHERE user_id % 3 <> 0 OR page < 5",
+    "SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page, page AS turn FROM events",
 )
 def stream_in_order(t: Tables) -> DataFrame:
-    """Each user's events as pages; the even ones come first, and a third of the users never get page five."""
+    """Each user's events as pages, of which the even ones come first."""
     from pyspark.sql import Window
 
-    pages = t.events.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("page")).where("user_id % 3 <> 0 or page <> 5")
+    pages = t.events.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("page"))
     return jobs.run_available(jobs.in_order(streamed(t, pages.where("page % 2 = 0"), pages.where("page % 2 = 1")), "user_id", "page"), jobs.folder(t.spark))
 
 

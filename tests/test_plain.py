@@ -166,6 +166,33 @@ def test_many_queries_go_in_blocks(spark, monkeypatch):
     assert got == {(i, q): float(i + q) for i in range(8) for q in range(10)}
 
 
+def test_pages_wait_for_those_before_them(spark, tmp_path):
+    """Files come one after another; a page that never comes holds back all behind it."""
+    from loamdex.streaming import jobs
+
+    place = f"file://{tmp_path}/in"
+    for part in ([(1, 2), (1, 3), (2, 1)], [(1, 1), (2, 3)], [(2, 4), (1, 4), (1, 2)]):
+        spark.createDataFrame(part, "doc long, page long").coalesce(1).write.mode("append").parquet(place)
+    stream = jobs.in_order(jobs.source(spark, place, files_per_batch=1), "doc", "page")
+    got = sorted(tuple(r) for r in jobs.run_available(stream, f"file://{tmp_path}/out").collect())
+    assert got == [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 4), (2, 1, 1)]
+
+
+def test_merged_tables_rewrite_what_changes_alone(spark, tmp_path):
+    from loamdex.streaming import jobs
+
+    place, rows = f"file://{tmp_path}/in", {}
+    for n, part in enumerate(([(k, 10, f"a{k}") for k in range(200)], [(5, 11, "b"), (6, 9, "old"), (300, 1, "new")])):
+        spark.createDataFrame(part, "k long, at long, v string").coalesce(1).write.mode("append").parquet(place)
+        stream = jobs.source(spark, place)
+        got = {r.k: r.v for r in jobs.run_merged(stream, f"file://{tmp_path}/out", ["k"], "at").collect()}
+        for k, at, v in part:
+            rows[k] = max(rows.get(k, (0, "")), (at, v))
+        assert got == {k: v for k, (_, v) in rows.items()}, n
+    touched = [p.name for p in (tmp_path / "out" / "rows").glob("batch=00000001/folder=*")]
+    assert 1 <= len(touched) <= 3
+
+
 def test_plans_of_words():
     p = reading.plan('"last month" bill between 2 lakh and 3 lakh oldest', now="2024-01-31")
     assert p.words == "last month bill" and p.period is None and p.amount == (200000.0, 300000.0) and p.newest_first is False and p.limit == 1
