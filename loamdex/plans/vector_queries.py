@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamdex.functions import pictures
 from loamdex.operators import vectors as vec
 from loamdex.plans.registry import Tables, query
 
@@ -123,3 +124,36 @@ def near_dup_hamming(t: Tables) -> DataFrame:
 @query("X22 X23", "SELECT vec_id, array_to_string(list_transform(v, lambda x: CASE WHEN x > m THEN '1' ELSE '0' END), '') AS bits FROM (SELECT vec_id, v, list_sum(v) / len(v) AS m FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))")
 def mean_bit_hashes(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", vec.mean_bits(F.col("embedding")).alias("bits"))
+
+
+@query(
+    "X47",
+    """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity * 8 AS INT) AS across, CAST(10 + l_linenumber * 20 AS INT) AS down FROM lineitem),
+    n AS (SELECT *, across > 0 AND down >= 1.5 * across AS turned FROM s), w AS (SELECT *, CAST(ceil(48.0 * CASE WHEN turned THEN down / across ELSE across / down END) AS INT) AS need FROM n)
+    SELECT l_orderkey, l_linenumber, l_partkey, across, down, turned, need, CASE WHEN need <= 320 THEN 320 WHEN need <= 640 THEN 640 WHEN need <= 960 THEN 960 ELSE CAST(floor(48.0 * across / down) AS INT) END AS width FROM w""",
+)
+def line_strips(t: Tables) -> DataFrame:
+    """Lines as places on a page: as wide as eight times the quantity, higher with the line's number."""
+    w, h = F.floor(F.col("l_quantity") * 8).cast("double"), (10 + F.col("l_linenumber") * 20).cast("double")
+    corners = F.array(F.lit(5.0), F.lit(7.0), 5 + w, F.lit(7.0), 5 + w, 7 + h, F.lit(5.0), 7 + h)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", pictures.strip(corners).alias("s")).select("l_orderkey", "l_linenumber", "l_partkey", "s.*")
+
+
+def _pictures(t: Tables) -> DataFrame:
+    """Each vector of 64 as a grey picture of eight rows."""
+    grey = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(x * 64 + 128).cast("int"))))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(grey, i * 8 + 1, F.lit(8)))
+    return t.embeddings.select("vec_id", rows.alias("pixels"))
+
+
+@query("X47")
+def resized_pictures(t: Tables) -> DataFrame:
+    small = _pictures(t).select("vec_id", F.flatten(pictures.resized(F.col("pixels"), 8, 8, 4)).alias("p"))
+    return small.select("vec_id", F.array_join(F.transform("p", lambda x: F.format_number(x, 4)), " ").alias("pixels"))
+
+
+@query("X47")
+def places_of_lines(t: Tables) -> DataFrame:
+    """Lines in vectors as maps of chances."""
+    chance = _pictures(t).select("vec_id", F.transform("pixels", lambda r: F.transform(r, lambda x: x / 255.0)).alias("map"))
+    return pictures.line_places(chance, "vec_id", "map", 0.5, 0.5, 2.0).select("vec_id", "place", F.array_join(F.transform("corners", lambda x: F.round(x, 4).cast("string")), " ").alias("corners"), "score")
