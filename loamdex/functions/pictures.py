@@ -129,7 +129,7 @@ def line_places(maps: DataFrame, id_col: str, map_col: str, thresh: float = 0.3,
             for key, rows in zip(b[id_col], b[map_col], strict=True):
                 chance, found = np.array([list(r) for r in rows], float), []
                 for shape in _labels(chance > thresh) if chance.size else []:
-                    box = smallest_box(np.concatenate([shape[:, ::-1], shape[:, ::-1] + 1]))
+                    box = smallest_box(np.concatenate([shape[:, ::-1] + corner for corner in ([0, 0], [0, 1], [1, 0], [1, 1])]))
                     score = float(chance[shape[:, 0], shape[:, 1]].mean())
                     if score >= least and min(math.hypot(*(box[1] - box[0])), math.hypot(*(box[2] - box[1]))) >= side - 1e-9:
                         found.append((float(box[:, 1].min()), float(box[:, 0].min()), box.ravel().round(6).tolist(), round(score, 6)))
