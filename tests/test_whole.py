@@ -73,7 +73,7 @@ def test_facts_of_every_receipt(run):
     orders = [(k, 1, 1000.25 + i, datetime(1996, 5, 13 + i)) for i, k in enumerate(KEYS)]
     want = []
     for k, _, price, date in orders:
-        want += [(k, "AMOUNT", f"{price:.2f}"), (k, "ID_NUMBER", f"AB{k + 10000}"), (k, "DATE", f"{date:%d/%m/%Y}"), (k, "PARTY", "BUILDING")]
+        want += [(k, "AMOUNT", f"{price:.2f}"), (k, "ID_NUMBER", f"AB{k + 10000}"), (k, "DATE", f"{date:%d/%m/%Y}"), (k, "PARTY", "BUILDING"), (k, "DOC_KIND", "bill")]
     got = run("facts_of_receipts", orders=(orders, ORDER), customer=([(1, "BUILDING")], "c_custkey long, c_mktsegment string"))
     assert sorted(x[:3] for x in got) == sorted(want)
 
