@@ -16,13 +16,6 @@ PAGE_LIMITS_MS = {"ocr": 3_000.0, "strip": 300.0, "render": 500.0, "total": 5_00
 DAMAGED_ERRORS = ("NotOfficeXmlFileException", "OLE2NotOfficeXmlFileException", "InvalidFormatException", "NotOLE2FileException", "EmptyFileException", "POIXMLException")
 DAMAGED_WORDS = ("end-of-file", "end of file", "header doesn't contain versioninfo", "missing root object", "expected='", "xref", "not a pdf", "zip file", "package should contain", "premature", "has no pages")
 NO_SPACE_ERRORS, NO_SPACE_WORDS = ("SQLiteFullException", "SQLiteDiskIOException"), ("enospc", "no space left", "database or disk is full")
-# what is said of an import that failed,
-IMPORT_WORDS = {
-    "FILE_GONE": "The file could not be opened. It was moved, renamed or deleted after you chose it.",
-    "LOCKED": "This PDF is locked with a password.",
-    "DAMAGED": "The file is damaged or incomplete, so it could not be read.",
-    "NO_TEXT": "No words were found in it. It is in your vault under its name only.",
-}
 # platforms by host (a name that ends in a point may stand anywhere in the host),
 PLATFORMS = {
     "Instagram": ("instagram.com", "instagr.am"),
@@ -43,6 +36,15 @@ MARK_ENDINGS = ("ations", "ation", "ities", "ments", "ings", "ions", "ment", "ne
 MARK_SMALL, MARK_ROOT = ("", "s", "es", "e", "'s", "’s", "ed", "ing", "y"), 3
 
 
+#: What is told of an import that failed.
+IMPORT_WORDS = {
+    "FILE_GONE": "The file is no longer where it was.",
+    "LOCKED": "The file asks for a password.",
+    "DAMAGED": "The file is not whole.",
+    "NO_TEXT": "The file has no words and is kept by its name.",
+}
+
+
 def outlier(megapixels: Column, ms: Column, trust: Column, chars: Column) -> Column:
     """Why a page took long, the first cause that holds."""
     return (

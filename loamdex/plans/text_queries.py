@@ -311,7 +311,7 @@ FAILURES = [
     ("EMPTY", [], [], "a.pdf", "NO_TEXT", None),
     ("READ", ["IOException", "OutOfMemoryError"], ["x", None], "a.pdf", "TOO_BIG", None),
     ("READ", ["InvalidPasswordException"], ["no"], "a.pdf", "LOCKED", None),
-    ("READ", ["IOException"], ["Cannot open the Password vault"], "a.pdf", "LOCKED", None),
+    ("READ", ["IOException"], ["Cannot open the Password store"], "a.pdf", "LOCKED", None),
     ("READ", ["FileNotFoundException"], ["gone"], "a.pdf", "FILE_GONE", None),
     ("READ", ["IOException"], ["write failed: ENOSPC"], "a.pdf", "NO_SPACE", None),
     ("READ", ["RuntimeException", "ZipException"], ["a", "b"], "a.pdf", "DAMAGED", None),
