@@ -38,10 +38,12 @@ FACTS = {
 #: What settles the kind whatever else is said.
 SETTLES = {"AMOUNT": "how much|kitna|kitne|kitni", "DATE": "when|kab|what date|which date|which day|what day"}
 #: Words of a question that ask, rather than say what is asked about.
-ASKING = frozenset(
-    "what whats when where which who whose how much many is are was were the a an of for to in on at from by with and or my me i did do does it that this tell show find give get please about any there "
-    "number no id date amount day pay paid kya hai tha thi ka ki ke ko se mera meri mere kab kitna kitne kitni batao bata dikhao kahan kaun".split()
-)
+ASKING = frozenset((
+    "what", "whats", "when", "where", "which", "who", "whose", "how", "much", "many", "is", "are", "was", "were", "the", "a", "an", "of", "for", "to",
+    "in", "on", "at", "from", "by", "with", "and", "or", "my", "me", "i", "did", "do", "does", "it", "that", "this", "tell", "show", "find", "give",
+    "get", "please", "about", "any", "there", "number", "no", "id", "date", "amount", "day", "pay", "paid", "kya", "hai", "tha", "thi", "ka", "ki",
+    "ke", "ko", "se", "mera", "meri", "mere", "kab", "kitna", "kitne", "kitni", "batao", "bata", "dikhao", "kahan", "kaun",
+))
 #: Fixed value: characters within which words stand together.
 WINDOW = 160
 
