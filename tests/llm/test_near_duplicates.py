@@ -79,6 +79,12 @@ def test_rows_without_id_keep_one_set(spark):
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got if r.n_shingles == 2) == [(0, 7, False), (7, 7, True)]
 
 
+def test_ids_of_all_signs(spark):
+    rows = [(-5, "a b c"), (-7, "a b c"), (0, "x y"), (-(2**63), "q r s"), (2**63 - 1, "q r s")]
+    got = {r.doc_id: (r.component_id, r.kept) for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == {-5: (-7, False), -7: (-7, True), 0: (0, True), -(2**63): (-(2**63), True), 2**63 - 1: (-(2**63), False)}
+
+
 def test_small_sets_at_the_threshold(spark):
     """Pairs of 4 and 5 shingles, and of 24 and 30, share exactly 0.8: none may be lost."""
     texts = {}
