@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamdex.llm.words import mix, shingle_numbers, slices, word_numbers
+from loamdex.llm.words import mix, shingle_numbers, slices, tidy, word_numbers
 from loamdex.llm.work import removed, shared_dir, written
 
 RADIUS, BLOCKS = 19, 4
@@ -163,7 +163,7 @@ def _search(items, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Items = items.value
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 1 << 20):
                 numbers, begins, starts, offsets = word_numbers(batch.column(1))
                 ids, md5 = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 out = []
@@ -246,7 +246,7 @@ def _suspects(table, bits: int, needed: dict[int, tuple[int, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks: np.ndarray = table.value
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 1 << 20):
                 numbers, begins, _, _ = word_numbers(batch.column(1))
                 keep = np.zeros(batch.num_rows, bool)
                 for k, (least, most) in needed.items():
@@ -282,7 +282,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
     sent = spark.sparkContext.broadcast(table)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.md5(text).alias("text_md5"))
-    rows = written(rows.mapInArrow(_suspects(sent, bits, needed), rows.schema), "suspects", place)
+    rows = written(rows.mapInArrow(tidy(_suspects(sent, bits, needed)), rows.schema), "suspects", place)
     sent.destroy()
     # blocks of items, by running sums of their bytes inside ranges of their names
     size = F.octet_length("text")
@@ -293,7 +293,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col
         own = once.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == b)
         for lot in _lots(own):
             index = spark.sparkContext.broadcast(Items([r.name for r in lot], [r.text for r in lot], words))
-            part = written(rows.mapInArrow(_search(index, percent / 100), SCHEMA), "found", place)
+            part = written(rows.mapInArrow(tidy(_search(index, percent / 100)), SCHEMA), "found", place)
             index.destroy()
             found = part if found is None else found.union(part)
     if found is None:

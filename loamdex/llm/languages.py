@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamdex.llm.main_text import main_texts
-from loamdex.llm.words import slices, texts
+from loamdex.llm.words import slices, texts, tidy
 from loamdex.llm.work import removed, shared_dir, written
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -76,7 +76,7 @@ def _count_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(language, text) -> a language's trigram counts within the task."""
     found: dict[str, np.ndarray] = {}
     for whole in batches:
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, 1 << 19):
             number, row = trigrams(*texts(batch.column(1)))
             names = np.array(batch.column(0).to_pylist(), object)
             for name in set(names):
@@ -105,7 +105,7 @@ def trained(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, lang
     chosen = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample).drop("n")
     own = rows.join(F.broadcast(chosen), ["id", "language", "h"]).dropDuplicates(["id", "language", "h"]).select("language", "text")
     own = own.repartition(8)  # a bounded sample
-    counts = own.mapInArrow(_count_sample, "language string, counts binary").groupBy("language").applyInArrow(_add, "language string, counts binary")
+    counts = own.mapInArrow(tidy(_count_sample), "language string, counts binary").groupBy("language").applyInArrow(_add, "language string, counts binary")
     return fit({r.language: np.frombuffer(r.counts, "<i8") for r in counts.collect()}, languages)
 
 
@@ -113,7 +113,7 @@ def _likelihood(model, classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 1 << 19):
                 number, row = trigrams(*texts(batch.column(1)))
                 out = np.zeros((batch.num_rows, classes))
                 n = np.bincount(row, minlength=batch.num_rows)
@@ -154,7 +154,7 @@ def identified(
     say = lambda c, name: (c if c is not None else F.lit(None)).cast("string").alias(name)
     clues = [say(F.substring_index(F.lower(declared), "-", 1) if declared is not None else None, "declared"), say(suffix, "suffix"), say(host, "host"), say(domain, "domain"), F.md5(F.col(text_col).cast("string")).alias("text_md5"), say(F.col(keep) if keep else None, "kept_column")]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *clues)
-    rows = rows.mapInArrow(_likelihood(sent, k), "id long, likelihood array<double>, n long, declared string, suffix string, host string, domain string, text_md5 string, kept_column string")
+    rows = rows.mapInArrow(tidy(_likelihood(sent, k)), "id long, likelihood array<double>, n long, declared string, suffix string, host string, domain string, text_md5 string, kept_column string")
     best = F.expr("array_position(likelihood, array_max(likelihood)) - 1").cast("int")
     place = shared_dir(spark)
     rows = written(rows.withColumn("first", F.when(F.col("n") > 0, best)), "likelihoods", place)

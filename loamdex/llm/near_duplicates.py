@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamdex.llm.words import mix, shingle_numbers, slices, word_numbers
+from loamdex.llm.words import mix, shingle_numbers, slices, tidy, word_numbers
 from loamdex.llm.work import removed, shared_dir, written
 
 M, BAND_ROWS, BANDS = 256, 5, 32
@@ -157,7 +157,7 @@ def _sketch(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2):
+            for batch in slices(whole, 2, 1 << 20):
                 sets = _sets(batch.column(2), k)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets)
@@ -193,7 +193,7 @@ def _members(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, 1 << 20):
                 names = batch.column(0).to_pylist()
                 once = pa.array([i for _, i in sorted({x: i for i, x in enumerate(names)}.items())], pa.int64())
                 batch = batch.take(once)
@@ -401,7 +401,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     place = shared_dir(spark)
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("text_md5"), text.alias("text"))
-    sketch = written(texts.mapInArrow(_sketch(words, percent), _SKETCH), "sketch", place)
+    sketch = written(texts.mapInArrow(tidy(_sketch(words, percent)), _SKETCH), "sketch", place)
     # size, registers and buckets follow from the set, so any row of a class has them; one text stands for it
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_md5"))
     classes = sketch.where("n > 0").groupBy("digest").agg(rep.alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -414,7 +414,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     wanted = classes.join(shared.select("node").distinct(), "node", "left_semi").select("digest", "node", F.col("id").alias("rep_id"), F.col("text_md5").alias("rep_md5"))
     wanted = written(wanted, "wanted", place)
     of_rep = (F.col("text_md5") == F.col("rep_md5")) & F.col("id").eqNullSafe(F.col("rep_id"))
-    sets = texts.join(wanted, of_rep).select("digest", "text").mapInArrow(_members(words), "digest binary, members binary").dropDuplicates(["digest"])
+    sets = texts.join(wanted, of_rep).select("digest", "text").mapInArrow(tidy(_members(words)), "digest binary, members binary").dropDuplicates(["digest"])
     regs = sketch.withColumnRenamed("digest", "own").join(wanted, of_rep & (F.col("own") == F.col("digest"))).select("digest", "node", "registers").dropDuplicates(["digest"])
     of_class = written(regs.join(sets, "digest").select("node", "registers", "members"), "sets", place)
     # each class with its bucket's smallest
@@ -424,9 +424,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     counts = classes.select("node", "n")
     likely = stars.join(counts.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b").join(counts.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a")
     likely = likely.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").join(side("b", "registers"), "b").join(side("a", "registers"), "a")
-    likely = likely.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(_star(percent), "a binary, b binary")
+    likely = likely.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(tidy(_star(percent)), "a binary, b binary")
     pairs = likely.join(side("b", "members"), "b").join(side("a", "members"), "a").select("a", "b", "members_a", "members_b")
-    links = pairs.mapInArrow(_verify(percent), "a binary, b binary")
+    links = pairs.mapInArrow(tidy(_verify(percent)), "a binary, b binary")
     # classes that one id stands on
     of_row = sketch.where("n > 0 and id is not null").select("id", "digest").join(classes.select("digest", "node"), "digest")
     first = of_row.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", "a")

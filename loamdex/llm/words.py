@@ -7,7 +7,8 @@ of about 2**-64.  Shingle numbers are built from the word numbers the same way.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +126,21 @@ def shingle_numbers(numbers: np.ndarray, begins: np.ndarray, k: int) -> tuple[np
     return mix(sums[take]), out_begins
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives memory back to the system when its rows are done: workers live on between stages, and what they keep counts."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about ``most`` bytes of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
