@@ -25,7 +25,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loamdex.operators import lexical as lex
@@ -81,18 +81,24 @@ class Index:
         self = cls(spark, place)
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/manifest")
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        versions = sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
-        for name in reversed(versions):
-            done = spark._jvm.org.apache.hadoop.fs.Path(f"{self.place}/manifest/{name}/_SUCCESS")
-            if files.exists(done):
-                state = json.loads(spark.read.text(f"{self.place}/manifest/{name}").first()[0])
-                self.segments, self.number, self.live, self.words, self.dead = (state[k] for k in ("segments", "number", "live", "words", "dead"))
-                break
+        names = sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
+        whole = [n for n in names if n.endswith(".json")]
+        if whole:
+            state = json.loads(spark.read.text(f"{self.place}/manifest/{whole[-1]}").first()[0])
+            self.segments, self.number, self.live, self.words, self.dead = (state[k] for k in ("segments", "number", "live", "words", "dead"))
         return self
 
     def _commit(self, segments: list[int], live: int, words: int, dead: int) -> None:
+        """Write a manifest; it appears under its name only when it is whole."""
         state = {"segments": segments, "number": self.number, "live": live, "words": words, "dead": dead}
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.place}/manifest/{self.number:08d}-{uuid.uuid4().hex[:8]}")
+        hadoop, name = self.spark._jvm.org.apache.hadoop.fs, f"{self.place}/manifest/{self.number:08d}-{uuid.uuid4().hex[:8]}"
+        path = hadoop.Path(f"{name}.tmp")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = files.create(path)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not files.rename(path, hadoop.Path(f"{name}.json")):
+            raise OSError(f"{name}.json can't be written")
         self.segments, self.live, self.words, self.dead = segments, live, words, dead
 
     def _read(self, what: str, schema: str, segments: Sequence[int] | None = None) -> DataFrame:
@@ -129,10 +135,13 @@ class Index:
             ids = ids.join(known, F.col("id") == F.col("k"), "left").select("id", "length", F.lit(True).alias("live"), F.coalesce("f", F.lit(number)).cast("int").alias("first"), F.lit(number).alias("segment"))
         else:
             ids = ids.select("id", "length", F.lit(True).alias("live"), F.lit(number).alias("first"), F.lit(number).alias("segment"))
+        # what is added is counted as it is written
+        seen = Observation()
+        ids = ids.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"))
         with ThreadPoolExecutor(2) as pool:
             for job in [pool.submit(terms.write.parquet, f"{folder}/terms"), pool.submit(ids.write.parquet, f"{folder}/ids")]:
                 job.result()
-        return self._changed(number, old)
+        return self._changed(number, old, seen.get["n"], seen.get["words"])
 
     def remove(self, ids: DataFrame, id_col: str) -> Index:
         """Take texts out; ids that are not there change nothing."""
@@ -144,16 +153,16 @@ class Index:
         gone.select("id", F.lit(0).alias("length"), F.lit(False).alias("live"), F.lit(number).alias("first"), F.lit(number).alias("segment")).write.parquet(f"{folder}/ids")
         self.spark.createDataFrame([], _POSTINGS).write.parquet(f"{folder}/postings")
         self.spark.createDataFrame([], "term string, df long").write.parquet(f"{folder}/terms")
-        return self._changed(number, old)
-
-    def _changed(self, number: int, old: int) -> Index:
-        before = self.segments
-        self.segments = [*before, number]
-        try:
-            added, words = self._read("ids", _IDS, [number]).where("live").agg(F.count("*"), F.sum("length")).first()
-            live, words = self._counted() if before else (added, words or 0)
-        finally:
-            self.segments = before
+        return self._changed(number, old, 0, 0)
+
+    def _changed(self, number: int, old: int, added: int, words: int) -> Index:
+        before, live = self.segments, added
+        if before:
+            self.segments = [*before, number]
+            try:
+                live, words = self._counted()
+            finally:
+                self.segments = before
         # what was live before and is no more in its old place: replaced or removed
         self._commit([*before, number], live, words, self.dead + old + added - live)
         return self.sweep() if self.dead >= SWEEP_AT and self.dead >= self.live / 2 else self
