@@ -1,10 +1,12 @@
 """Queries over small tables whose keys go beyond those of the given ones: no row is left out."""
 
 import hashlib
+import os
 import random
 import unicodedata
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from loamdex.plans import catalog  # noqa: F401
@@ -120,3 +122,20 @@ def test_character_errors_of_every_customer(run):
     rows = [(k, s) for k in (1, 499, 500, 501, 15_000) for s in ("MACHINERY",)] + [(600, "MACHINES")]
     want = [(k, 0, 0.0, 1.0) for k, s in rows if s == "MACHINERY"] + [(600, 2, 0.25, 0.75)]
     assert sorted(run("character_errors", customer=(rows, "c_custkey long, c_mktsegment string"))) == sorted(want)
+
+
+def test_stream_progress_reads_every_event_if_its_middle_varies(run, monkeypatch, tmp_path):
+    from pyspark.sql import functions as F
+
+    seen = str(tmp_path / "seen")
+
+    @F.pandas_udf("long")
+    def varying(s: pd.Series) -> int:
+        later = os.path.exists(seen)
+        open(seen, "a").close()
+        return 150 if later else 10
+
+    monkeypatch.setattr(F, "percentile_approx", lambda column, _: varying(column))
+    rows = [(i, i % 3, "click") for i in range(200)]
+    want = [(u, len(range(u, 200, 3)), 0, max(range(u, 200, 3)), 0, "READING") for u in range(3)]
+    assert run("stream_progress", events=(rows, "event_id long, user_id long, event_type string")) == want
