@@ -547,10 +547,10 @@ def reader_steps(t: Tables) -> DataFrame:
 @query("X34 X37")
 def merged_readings(t: Tables) -> DataFrame:
     """Three readings of each conversation's turns, two of them with misread letters, put together again."""
-    rows = t.conversations.select("conv_id", "turn", F.regexp_replace("text", r"\s+", " ").alias("text"))
-    readings = rows.withColumn("reading", F.lit(0))
-    for n in (1, 2):
-        readings = readings.unionByName(rows.withColumn("text", sp.misread(F.col("text"), F.concat_ws("/", F.lit(str(n)), "conv_id", "turn"), 30 * n)).withColumn("reading", F.lit(n)))
+    # dealt before the readings are made of it, so the text travels once
+    rows = t.conversations.select("conv_id", "turn", F.regexp_replace("text", r"\s+", " ").alias("text")).repartition("conv_id")
+    misread = [F.struct(F.lit(n).alias("reading"), sp.misread(F.col("text"), F.concat_ws("/", F.lit(str(n)), "conv_id", "turn"), 30 * n).alias("text")) for n in (1, 2)]
+    readings = rows.select("conv_id", "turn", F.explode(F.array(F.struct(F.lit(0).alias("reading"), "text"), *misread)).alias("r")).select("conv_id", "turn", "r.reading", "r.text")
     return sp.merged_readings(readings, "conv_id", "reading", "turn", "text").groupBy("conv_id").agg(F.count("*").alias("lines"), F.max("seen_by").alias("most"))
 
 

@@ -92,6 +92,20 @@ def test_merged_readings_keep_what_most_readings_have(spark, t):
     assert whole.keys() == said and all(r.lines >= 1 and 1 <= r.most <= 3 for r in whole.values())
 
 
+def test_merged_readings_deal_each_text_once(spark, t):
+    # by item alone, and without a row for each word
+    from loamdex.functions import spelling as sp
+
+    df = ENTRIES["merged_readings"].run(t)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("FileScan") <= 1
+    # words that an earlier line of the same rank says are not new
+    lines = [(7, r, i, x) for r, xs in enumerate((["p q", "r s"], ["q p", "s"], ["z"])) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(lines, "item long, reading int, at int, text string")
+    got = sorted((r.line, r.seen_by, r.place) for r in sp.merged_readings(df, "item", "reading", "at", "text").collect())
+    assert got == [("p q", 1, 0.0), ("r s", 1, 1.0), ("z", 1, 0.0)]
+
+
 def test_misread_texts(spark):
     from loamdex.functions import spelling as sp
 
