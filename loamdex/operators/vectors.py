@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,30 +103,66 @@ def sign_bits(a: Column, size: int = 64) -> Column:
     return F.aggregate(F.transform(F.slice(a, 1, size), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L"))), F.lit(0).cast("long"), lambda t, b: F.shiftleft(t, 1) + b)
 
 
-#: Blocks that a signature is cut into: as wide as the number of rows asks for.
-WIDE = 16
+#: Width of the blocks that a signature is cut into; signatures that meet as one group; candidates that are compared at once.
+WIDE, GROUP, AT_ONCE = 16, 2**17, 2**19
+
+
+def _near_in_block(x: np.ndarray, y: np.ndarray, block: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates, as places in x and in y: signatures that differ in at most ``most`` bits of a block."""
+    value = lambda s: ((s >> np.uint64(WIDE * block)) & np.uint64(2**WIDE - 1)).astype(np.int64)
+    order, sought = np.argsort(value(y), kind="stable"), value(x)
+    count = np.bincount(value(y), minlength=2**WIDE)
+    start = np.cumsum(count) - count
+    for mask in (sum(1 << i for i in picked) for n in range(most + 1) for picked in combinations(range(WIDE), n)):
+        found = count[sought ^ mask]
+        own = np.flatnonzero(found)
+        ends = np.cumsum(found[own])
+        at, total = 0, int(ends[-1]) if len(own) else 0
+        while at < total:
+            # a stretch of all candidates, cut anywhere
+            k = np.arange(at, min(at + AT_ONCE, total))
+            i = np.searchsorted(ends, k, side="right")
+            yield own[i], order[start[sought[own[i]] ^ mask] + k - (ends[i] - found[own[i]])]
+            at += AT_ONCE
 
 
 def near_signatures(df: DataFrame, key: str, bits: str, radius: int) -> DataFrame:
     """Pairs of rows (a < b) within ``radius`` bits.
 
-    64 bits are cut into four blocks of 16; two signatures within the radius agree up to radius // 4 bits in one block at least.  One side goes by its own
-    block values, the other by all values that near, so they meet in an equi-join on (block, value); each pair is kept in the first block that is near
-    enough.  Equal signatures are one until the end.
+    64 bits are cut into four blocks of 16, and radius + 1 is shared among them: two signatures within the radius differ in fewer bits than its share in
+    one block at least.  Different signatures are dealt into groups by a hash, and each two groups meet in one task, which looks up all near values of
+    its blocks in place: no row is made of a value or a candidate.  Each pair is kept in the first block that is near enough.  Equal signatures are one
+    until the end.
     """
-    blocks, most = 64 // WIDE, radius // (64 // WIDE)
-    masks = F.array(*[F.lit(sum(1 << i for i in picked)) for n in range(most + 1) for picked in combinations(range(WIDE), n)])
-    value = lambda c, i: F.shiftrightunsigned(c, WIDE * i).bitwiseAND(F.lit(2**WIDE - 1)).cast("int")
-    once = df.select(F.col(bits).alias("s")).distinct()
-    parts = F.array(*[F.struct(F.lit(i).alias("block"), value(F.col("s"), i).alias("value")) for i in range(blocks)])
-    own = once.select("s", F.explode(parts).alias("p")).select(F.col("s").alias("sa"), "p.block", "p.value")
-    near = own.select(F.col("sa").alias("sb"), "block", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
-    met = own.join(near, ["block", "value"]).where("sa <= sb").withColumn("distance", F.bit_count(F.col("sa").bitwiseXOR(F.col("sb")))).where(F.col("distance") <= radius)
-    earlier = reduce(lambda x, y: x | y, [(F.col("block") > i) & (F.bit_count(value(F.col("sa"), i).bitwiseXOR(value(F.col("sb"), i))) <= most) for i in range(blocks)])
-    met = met.where(~earlier).select("sa", "sb", "distance")
-    a, b = df.select(F.col(key).alias("x"), F.col(bits).alias("sa")), df.select(F.col(key).alias("y"), F.col(bits).alias("sb"))
-    pairs = met.join(a, "sa").join(b, "sb").where((F.col("sa") != F.col("sb")) | (F.col("x") < F.col("y")))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    blocks = 64 // WIDE
+    most = [(radius + blocks - i) // blocks - 1 for i in range(blocks)]
+    rows = df.select(F.col(key).alias("x"), F.col(bits).alias("s")).where("s is not null")
+    once = rows.select("s").distinct()
+    groups = -(-max(1, once.count()) // GROUP)
+    group = F.pmod(F.xxhash64("s"), F.lit(groups)).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda h: F.struct(F.least("g", h).alias("g1"), F.greatest("g", h).alias("g2")))
+    dealt = once.withColumn("g", group).select("s", "g", F.explode(meets).alias("m")).select("s", "g", "m.g1", "m.g2")
+
+    def meet(own: pd.DataFrame) -> pd.DataFrame:
+        first = own["g1"].iloc[0]
+        x, y = own["s"][own["g"] == first].to_numpy().view(np.uint64), own["s"][own["g"] == own["g2"].iloc[0]].to_numpy().view(np.uint64)
+        same, out = first == own["g2"].iloc[0], []
+        for block in range(blocks):
+            for i, j in _near_in_block(x, y, block, most[block]):
+                both = x[i] ^ y[j]
+                near = (np.bitwise_count(both) <= radius) & (x[i] < y[j] if same else True)
+                i, j, both = i[near], j[near], both[near]
+                new = np.ones(len(both), dtype=bool)
+                for b in range(block):
+                    new &= np.bitwise_count((both >> np.uint64(WIDE * b)) & np.uint64(2**WIDE - 1)) > most[b]
+                out.append(pd.DataFrame({"sa": x[i[new]].view(np.int64), "sb": y[j[new]].view(np.int64), "distance": np.bitwise_count(both[new]).astype(np.int32)}))
+        return pd.concat(out) if out else pd.DataFrame({"sa": [], "sb": [], "distance": []})
+
+    met = dealt.groupBy("g1", "g2").applyInPandas(meet, "sa long, sb long, distance int")
+    a, b = rows.select(F.col("x").alias("xa"), F.col("s").alias("sa")), rows.select(F.col("x").alias("xb"), F.col("s").alias("sb"))
+    pairs = met.join(a, "sa").join(b, "sb").select("xa", "xb", "distance")
+    equal = a.join(b, (F.col("sa") == F.col("sb")) & (F.col("xa") < F.col("xb"))).select("xa", "xb", F.lit(0).alias("distance"))
+    return pairs.unionByName(equal).select(F.least("xa", "xb").alias("a"), F.greatest("xa", "xb").alias("b"), "distance")
 
 
 def mean_bits(a: Column) -> Column:

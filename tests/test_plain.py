@@ -158,6 +158,21 @@ def test_near_signatures_against_all_pairs(spark):
     assert got == want
 
 
+def test_near_signatures_of_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(vec, "GROUP", 40, raising=False)
+    monkeypatch.setattr(vec, "AT_ONCE", 7, raising=False)
+    rng = np.random.default_rng(6)
+    bits = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 12), replace=False)) for b in rng.integers(-(2**63), 2**63, 25) for _ in range(4)] + [7, 7, -1, -1]
+    df = spark.createDataFrame([*enumerate(bits), (999, None)], "id long, bits long")
+    for radius in (0, 2, 9):
+        near = vec.near_signatures(df, "id", "bits", radius)
+        # one row for each group that a signature meets, none for each near value
+        assert near._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") <= 1
+        want = {(i, j, d) for i in range(len(bits)) for j in range(i + 1, len(bits)) if (d := bin((bits[i] ^ bits[j]) & (2**64 - 1)).count("1")) <= radius}
+        got = [tuple(r) for r in near.collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_windows_cut_a_text_once(spark):
     """Twice the text may take little more than twice the time."""
     import time
