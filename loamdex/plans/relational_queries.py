@@ -392,7 +392,8 @@ def stage_totals(t: Tables) -> DataFrame:
     SELECT l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = f THEN 0 ELSE 1 END, l_quantity DESC, l_shipdate, l_linenumber) AS rn FROM r) WHERE rn = 1""",
 )
 def best_of_first_ties(t: Tables) -> DataFrame:
-    order = [F.asc("l_shipdate"), F.asc("l_linenumber")]
+    # the SQL leaves open which of two lines of one date and number is first; by the flag, reruns agree
+    order = [F.asc("l_shipdate"), F.asc("l_linenumber"), F.asc("l_returnflag")]
     return op.best_of_first_ties(t.lineitem, "l_orderkey", order, F.col("l_returnflag"), [F.desc("l_quantity")]).select("l_orderkey", "l_linenumber")
 
 

@@ -50,6 +50,13 @@ def test_best_of_first_ties_reads_all_orders(run):
     assert run("best_of_first_ties", lineitem=(rows, LINE)) == sorted(want, key=repr)
 
 
+def test_best_of_first_ties_does_not_hang_on_the_order_of_rows(run):
+    day = datetime(1995, 1, 1)
+    rows = [(1, 1, 5.0, "N", day), (1, 1, 5.0, "A", day), (1, 2, 9.0, "N", day + timedelta(days=1)), (1, 3, 9.0, "A", day + timedelta(days=1))]
+    for given in (rows, rows[::-1]):
+        assert run("best_of_first_ties", lineitem=(given, LINE)) == [(1, 3)]
+
+
 def test_packed_key_sort_finds_the_best_of_all_orders(run):
     rows = [x for seed in range(3, 6) for x in lines(seed)]
     rows = [(k + 7 * i % 13, *rest) for i, (k, *rest) in enumerate(rows)]
